@@ -14,6 +14,8 @@ have no pieces; a text of at most ``limit`` characters is one piece; characters
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,43 +39,56 @@ def boundary_pattern(limit: int, overlap: int) -> str:
         r"[ \t\n]",
     )
     fits = max(1, most - 8)  # a boundary's own characters must fit below the limit, too
-    upper, any_ = rf"[\s\S]{{{min(least, fits)},{fits}}}", rf"[\s\S]{{1,{fits}}}"
+    upper, any_ = rf".{{{min(least, fits)},{fits}}}", rf".{{1,{fits}}}"
     tried = [upper + paragraph, upper + line, upper + sentence, any_ + rf"(?:{line}|{sentence})", upper + clause, upper + word]
-    return "|".join([*tried, rf"[\s\S]{{1,{most}}}"])
+    return "(?s)" + "|".join([*tried, rf".{{1,{most}}}"])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _running_starts(lengths: Column) -> Column:
     """Start offsets from piece lengths: sums inside blocks of pieces, added to the sums of the blocks before."""
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    n = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
-        lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))),
-    )
-    block_starts = F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda b: total(F.slice(blocks, F.lit(1), b - 1)))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.element_at(block_starts, F.floor(i / _BLOCK).cast("int") + 1)
-        + total(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)),
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    sums = F.transform(
+        F.sequence(F.lit(0), block(F.size(lengths) - 1)), lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
     )
 
+    def starts(blocks: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda b: total(F.slice(blocks, F.lit(1), b - 1)))
+
+    def every(block_starts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(lengths) - 1),
+            lambda i: F.element_at(block_starts, block(i) + 1) + total(F.slice(lengths, block(i) * _BLOCK + 1, i % _BLOCK)),
+        )
+
+    return _let(sums, lambda blocks: _let(starts(blocks), every))
+
 
 def cut_spans(body: Column, lead: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """array<struct<char_start, char_end>> of the trimmed text ``body`` that starts at ``lead`` in the whole text."""
+    """array<struct<char_start, char_end, pieces>> of the trimmed text ``body`` that starts at ``lead`` in the whole text."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
-    pieces = F.regexp_extract_all(body, F.lit(boundary_pattern(limit, overlap)), F.lit(0))
-    lengths = F.transform(pieces, F.length)
-    many = F.zip_with(
-        _running_starts(lengths),
-        lengths,
-        lambda s, n: F.struct(
-            (lead + F.greatest(s - overlap, F.lit(0))).cast("int").alias("char_start"), (lead + s + n).cast("int").alias("char_end")
-        ),
+
+    def span(start: Column, end: Column, pieces: Column) -> Column:
+        return F.struct((lead + start).cast("int").alias("char_start"), (lead + end).cast("int").alias("char_end"), pieces.cast("int").alias("pieces"))
+
+    def overlapped(lengths: Column) -> Column:
+        return F.zip_with(
+            _running_starts(lengths), lengths, lambda s, n: span(F.greatest(s - overlap, F.lit(0)), s + n, F.size(lengths))
+        )
+
+    cut = F.transform(F.regexp_extract_all(body, F.lit(boundary_pattern(limit, overlap)), F.lit(0)), F.length)
+    none = F.array().cast("array<struct<char_start:int,char_end:int,pieces:int>>")
+    return (
+        F.when(F.length(body) > limit, _let(cut, overlapped))
+        .when(F.length(body) > 0, F.array(span(F.lit(0), F.length(body), F.lit(1))))
+        .otherwise(none)
     )
-    one = F.array(F.struct(lead.cast("int").alias("char_start"), (lead + F.length(body)).cast("int").alias("char_end")))
-    none = F.array().cast("array<struct<char_start:int,char_end:int>>")
-    return F.when(F.length(body) > limit, many).when(F.length(body) > 0, one).otherwise(none)
 
 
 def split_items(items: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -86,8 +101,8 @@ def split_items(items: DataFrame, text: str, keys: list[str], limit: int = LIMIT
 
 
 def explode_pieces(split: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per piece: keys, piece_index, char_start, char_end, text."""
-    return split.select(*keys, "whole", F.posexplode("spans").alias("piece_index", "s")).select(
+    """One row per piece of the items that had to be cut: keys, piece_index, char_start, char_end, text."""
+    return split.select(*keys, "whole", F.posexplode("spans").alias("piece_index", "s")).filter("s.pieces > 1").select(
         *keys,
         "piece_index",
         F.col("s.char_start").alias("char_start"),
@@ -123,10 +138,10 @@ def oversized_pieces(decisions: DataFrame, chunks: DataFrame, limit: int = LIMIT
     delivery of its decision, the pieces get offsets into ``full_text``; otherwise (headnotes, lost texts) their offsets
     are NULL. ``item_start`` and ``item_end`` are offsets into the item's own text.
     """
-    cut = both_tables(decisions, chunks, limit, overlap).filter(F.size("spans") > 1)
+    cut = both_tables(decisions, chunks, limit, overlap)
     keys = ["item_table", "item_key", "decision_id", "item_start"]
     judgments = explode_pieces(cut.filter("item_table = 'decisions'"), keys).withColumn("at", F.lit(0))
-    passages = cut.filter("item_table = 'chunks'")
+    passages = cut.filter((F.col("item_table") == "chunks") & (F.size("spans") > 1))
     texts = require(decisions, decision_id="string", full_text="string").filter("full_text IS NOT NULL")
     stated = F.substring(F.col("full_text"), F.col("item_start") + 1, F.length("whole")) == F.col("whole")
     found = F.expr("locate(whole, full_text)") - 1
