@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gavelgrid.llm import queries_languages, queries_neighbours, queries_packing, queries_proportions, queries_sampling
+from gavelgrid.llm import queries_languages, queries_leakage, queries_neighbours, queries_packing, queries_proportions, queries_sampling
 from gavelgrid.plans.registry import Query
 
-MODULES = (queries_sampling, queries_proportions, queries_neighbours, queries_languages, queries_packing)
+MODULES = (queries_sampling, queries_proportions, queries_neighbours, queries_languages, queries_packing, queries_leakage)
 
 
 def llm_queries() -> dict[str, Query]:
