@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from gavelgrid.llm import queries_languages, queries_leakage, queries_neighbours, queries_packing, queries_proportions, queries_sampling
+from gavelgrid.llm import (
+    queries_languages,
+    queries_leakage,
+    queries_neighbours,
+    queries_packing,
+    queries_proportions,
+    queries_sampling,
+    queries_toxicity,
+)
 from gavelgrid.plans.registry import Query
 
-MODULES = (queries_sampling, queries_proportions, queries_neighbours, queries_languages, queries_packing, queries_leakage)
+MODULES = (queries_sampling, queries_proportions, queries_neighbours, queries_languages, queries_packing, queries_leakage, queries_toxicity)
 
 
 def llm_queries() -> dict[str, Query]:
