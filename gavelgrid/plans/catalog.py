@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gavelgrid.plans import orphans
+from gavelgrid.plans import orphans, relational
 from gavelgrid.plans.registry import Query
 
-MODULES = (orphans,)
+MODULES = (orphans, relational)
 
 
 def core_queries() -> dict[str, Query]:
