@@ -27,6 +27,11 @@ def bm25_postings(postings: DataFrame, key: str, total: int, mean_length: float)
     return _weights(postings, document_lengths(postings, key), key, total, mean_length)
 
 
+def bm25_postings_of(postings: DataFrame, terms: DataFrame, key: str, total: int, mean_length: float) -> DataFrame:
+    """As ``bm25_postings``, only for the terms of ``terms`` (term); lengths still count every term."""
+    return _weights(postings.join(terms, "term", "left_semi"), document_lengths(postings, key), key, total, mean_length)
+
+
 def corpus_size(postings: DataFrame, key: str) -> tuple[int, float]:
     """(documents with a term, mean length): one row of statistics."""
     row = document_lengths(postings, key).agg(F.count(F.lit(1)), F.avg("dl")).first()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gavelgrid.plans import orphans, relational
+from gavelgrid.plans import orphans, relational, retrieval, textual
 from gavelgrid.plans.registry import Query
 
-MODULES = (orphans, relational)
+MODULES = (orphans, relational, textual, retrieval)
 
 
 def core_queries() -> dict[str, Query]:
