@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ STOPWORDS = (
 ).split()
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row. Without it a value named inside a lambda is computed again
+    for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_accents(text: Column) -> Column:
     return F.translate(text, MARKED, PLAIN)
 

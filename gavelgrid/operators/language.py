@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gavelgrid.functions.text import bind
+
 # Function words and, for close decisions, words of the field.
 FUNCTION_WORDS = {
     "de": ("der", "die", "das", "und", "nicht", "ist", "ein", "eine", "mit", "von", "auf", "für", "dem", "den", "wird", "kann", "wann", "wie", "bei", "nach", "gegen", "ob"),
@@ -33,27 +35,35 @@ def detect(text: Column, default: str = "de", least: int = 2) -> Column:
     else a weak lead; else ``default``. Quoted lines and words in capitals (acts) don't count."""
     plain = F.regexp_replace(text, r"(?m)^>[^\n]*$", " ")
     plain = F.regexp_replace(plain, r"\b[A-Z]{2,}\b", " ")
-    words = F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}]+"), F.lit(0))
-    ranked = lambda lists: F.reverse(F.array_sort(_counts(words, lists)))
-    strong, field = ranked(FUNCTION_WORDS), ranked(FIELD_WORDS)
     leads = lambda r: r[0]["n"] > r[1]["n"]
-    return (
-        F.when((strong[0]["n"] >= least) & leads(strong), strong[0]["lang"])
-        .when((field[0]["n"] > 0) & leads(field), field[0]["lang"])
-        .when(leads(strong), strong[0]["lang"])
-        .otherwise(F.lit(default))
-    )
+
+    def choose(strong: Column, field: Column) -> Column:
+        return (
+            F.when((strong[0]["n"] >= least) & leads(strong), strong[0]["lang"])
+            .when((field[0]["n"] > 0) & leads(field), field[0]["lang"])
+            .when(leads(strong), strong[0]["lang"])
+            .otherwise(F.lit(default))
+        )
+
+    def ranked(words: Column) -> Column:
+        order = lambda lists: F.reverse(F.array_sort(_counts(words, lists)))
+        return bind(order(FUNCTION_WORDS), lambda strong: bind(order(FIELD_WORDS), lambda field: choose(strong, field)))
+
+    found = bind(F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}]+"), F.lit(0)), ranked)
+    return F.when(text.isNotNull(), found).otherwise(F.lit(default))
 
 
 def drifts(text: Column, language: Column) -> Column:
     """Whether some sentence of eight words or more is clearly in another language (three words at least, lead two)."""
     parts = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.size(F.regexp_extract_all(s, F.lit(r"[\p{L}]+"), F.lit(0))) >= 8)
 
-    def foreign(sentence: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}]+"), F.lit(0))
-        counted = _counts(words, FUNCTION_WORDS)
+    def other(counted: Column) -> Column:
         best = F.array_max(counted)
         own = F.element_at(F.filter(counted, lambda c: c["lang"] == language), 1)["n"]
         return (best["n"] >= 3) & (best["n"] >= F.coalesce(own, F.lit(0)) + 2) & (best["lang"] != language)
 
+    def foreign(sentence: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}]+"), F.lit(0))
+        return bind(words, lambda w: bind(_counts(w, FUNCTION_WORDS), other))
+
     return F.exists(parts, foreign)

@@ -6,17 +6,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelgrid.functions.text import words
+from gavelgrid.functions.text import bind, words
 
 
 def shingles(text: Column, size: int = 6) -> Column:
     """Distinct runs of ``size`` consecutive words; a shorter text has none."""
-    w = words(text, 1)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+        return F.when(F.size(w) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bind(words(text, 1), runs)
 
 
 def copies_phrase(written: Column, source: Column, size: int = 6) -> Column:
@@ -31,17 +34,24 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(rows: DataFrame, group: list[str], key: str, text: str, threshold: float, least: int = 1) -> DataFrame:
-    """(group, a, b, similarity) of pairs in a group that share a word and reach ``threshold``.
+    """(group, a, b, similarity) of pairs in a group that reach ``threshold``, a < b.
 
-    Pairs come from a join on shared words, so rows without a common word never meet. Equal word sets are one class
-    while pairs are formed, so copies don't multiply the pairs; a pair names the smallest key of both classes.
+    Containment is never below Jaccard, so a pair shares at least ``threshold`` of the smaller set's words, and one of
+    its ``(1 - threshold) * n + 1`` rarest words must be in the larger set. Only those are joined. Equal word sets are
+    one class while pairs are formed, so copies don't multiply the pairs; a pair names the smallest keys of two classes.
     """
     sets = rows.select(*group, key, F.array_sort(F.array_distinct(words(F.col(text), 3))).alias("w")).filter(F.size("w") >= least)
-    classes = sets.groupBy(*group, "w").agg(F.min(key).alias(key))
-    left = classes.select(*group, F.col(key).alias("a"), F.col("w").alias("wa"), F.explode("w").alias("word"))
-    right = classes.select(*group, F.col(key).alias("b"), F.col("w").alias("wb"), F.explode("w").alias("word"))
-    meet = left.join(right, [*group, "word"]).filter("a < b").select(*group, "a", "b", "wa", "wb").distinct()
-    return meet.withColumn("similarity", similarity(F.col("wa"), F.col("wb"))).filter(F.col("similarity") >= threshold).drop("wa", "wb")
+    classes = sets.groupBy(*group, "w").agg(F.min(key).alias("k")).withColumn("n", F.size("w"))
+    every = classes.select(*group, "k", "n", "w", F.explode("w").alias("word"))
+    frequency = every.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    rarest = Window.partitionBy(*group, "k").orderBy("f", "word")
+    first = F.floor((1 - threshold) * F.col("n") + 1e-9) + 1
+    probes = every.join(frequency, "word").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= first)
+    small = probes.select(*group, "word", F.col("k").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"))
+    large = every.select(*group, "word", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"))
+    meet = small.join(large, [*group, "word"]).filter("na < nb OR (na = nb AND a < b)")
+    scored = meet.dropDuplicates([*group, "a", "b"]).withColumn("similarity", similarity(F.col("wa"), F.col("wb")))
+    return scored.filter(F.col("similarity") >= threshold).select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def accepted_only(rows: DataFrame, group: str, order: list[str], key: str, text: str, threshold: float = 0.8) -> DataFrame:
