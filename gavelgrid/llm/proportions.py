@@ -1,20 +1,22 @@
-"""A sample that matches target proportions of several categories at once.
+"""Samples that match target proportions of categories.
 
 Method: divisor priorities. Every record gets its pseudo-random rank inside its category; its priority is
 ``(rank - 0.5) / target``. The records that fill the minimum floors come first, then the globally smallest priorities
 until the sample is full. A category that runs out of records simply has no further priorities, so its seats go to the
 others.
 
-A category here is a *cell*, one combination of the dimensions' categories. The cells' targets are fitted to the target
-shares of all dimensions (iterative proportional fitting over the counts of the cells, never more than a cell holds).
-There are at most as many cells as the product of the target table's categories plus one per dimension, whatever the
-size of the data, so their counts are fitted on the driver. The n smallest priorities are found from these counts: the
-ranks in a cell are 1, 2, 3 ..., so the counts alone say how many priorities of a cell lie below a threshold. Records
-are then taken by exact distributed ranks (``operators.hashrank``), no group is held by one task.
+Targets are stated per dimension and the dimensions contradict each other (courts of one canton may be asked for more
+often than the canton), so every dimension has a sample of its own, all of the same size and by the same ranks.
+
+The seats of the categories follow from their counts alone: ranks are 1, 2, 3 ..., so the counts say how many
+priorities lie below a threshold. The counts are as many numbers as the target table has rows, whatever the size of
+the data; only they meet on the driver. Records are taken by exact distributed ranks (``operators.hashrank``), so no
+category, however large, is held or sorted by one task.
 
 Defined cases: one row per canonical id, the one with the latest ``indexed_at`` (ties: the largest row); only rows with
-a full text; NULL, empty and unknown values belong to no category and share the rest cell; an empty pool gives an empty
-sample and a report in which only needs of zero are met; repeated target rows count once.
+a full text; NULL, empty and unknown values belong to no category; an empty pool gives an empty sample and a report in
+which only needs of zero are met; repeated target rows count once; floors that add up to more than the sample are cut
+by priority, too; categories without a target get records only when those with one are used up.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from gavelgrid.operators.hashrank import hash_rank
 from gavelgrid.sources.tables import require
 
 DIMENSIONS = ("language", "canton", "court", "period")
-REST = ""
 
 # Notations of the languages.
 LANGUAGES = {
@@ -128,28 +129,24 @@ def sampling_pool(decisions: DataFrame) -> DataFrame:
     )
 
 
-def fitted_cells(counts: np.ndarray, codes: np.ndarray, shares: list[np.ndarray], n: int, rounds: int = 60) -> np.ndarray:
-    """Targets per cell: marginals as near to ``n * shares`` as the counts allow."""
-    fit = counts.astype(float)
-    for _ in range(rounds):
-        for d, share in enumerate(shares):
-            held = np.bincount(codes[:, d], weights=fit, minlength=len(share))
-            scale = np.divide(share * n, held, out=np.zeros_like(held), where=held > 0)
-            fit = np.minimum(fit * scale[codes[:, d]], counts)
-    return fit
-
+def divisor_seats(targets: np.ndarray, counts: np.ndarray, n: int, floors: np.ndarray | None = None) -> np.ndarray:
+    """How many of the ``n`` records that come first each category holds: floors, then priorities (rank - 0.5) / target.
 
-def divisor_seats(targets: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of the ``n`` smallest priorities (rank - 0.5) / target each cell holds; ties go to the earlier cell."""
+    Ties go to the earlier category.
+    """
+    counts = np.asarray(counts, dtype=np.int64)
+    floors = np.minimum(np.zeros_like(counts) if floors is None else floors, counts)
     n = int(min(n, counts.sum()))
-    seats = np.zeros(len(counts), dtype=np.int64)
-    for weight in (targets, np.where(targets > 0, 0, counts).astype(float)):  # cells without a target come last
-        left, live = n - int(seats.sum()), weight > 0
-        if left <= 0 or not live.any():
+    if floors.sum() >= n and floors.any():
+        counts, floors = floors, np.zeros_like(counts)
+    seats = floors.copy()
+    for weight in (np.asarray(targets, dtype=float), np.where(np.asarray(targets) > 0, 0, counts).astype(float)):
+        live = weight > 0  # categories without a target come last
+        left = min(n - int(seats[~live].sum()), int(counts[live].sum()))
+        if left <= seats[live].sum() or not live.any():
             continue
-        room = np.where(live, counts - seats, 0)
-        left = min(left, int(room.sum()))
-        below = lambda t: np.minimum(np.floor(t * weight[live] + 0.5), room[live])
+        w, most, least = weight[live], counts[live], seats[live]
+        below = lambda t: np.maximum(np.minimum(np.floor(t * w + 0.5), most), least)
         low, high = 0.0, 1.0
         while below(high).sum() < left:
             high *= 2
@@ -159,11 +156,8 @@ def divisor_seats(targets: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray
         got = below(high).astype(np.int64)
         at_edge = got - below(low).astype(np.int64)
         for i in np.flatnonzero(at_edge)[::-1]:
-            extra = int(min(at_edge[i], got.sum() - left))
-            if extra <= 0:
-                break
-            got[i] -= extra
-        seats[live] += got
+            got[i] -= max(0, int(min(at_edge[i], got.sum() - left)))
+        seats[live] = got
     return seats
 
 
@@ -176,60 +170,38 @@ def _targets(targets: DataFrame) -> list[tuple[str, str, int, int]]:
 
 
 class ProportionalSample:
-    """``rows`` (the sample) and ``report`` (every target row, with what could be drawn)."""
+    """``rows`` (dimension, category, decision_id, rank, floor, priority): the samples; ``report``: every target row with
+    what it needs, what the pool holds and what was drawn."""
 
     def __init__(self, pool: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 42, dimensions: tuple[str, ...] = DIMENSIONS) -> None:
         spark = pool.sparkSession
-        wanted = _targets(targets)
-        known = {d: [c for dim, c, *_ in wanted if dim == d] for d in dimensions}
-        cell = F.concat_ws("\x1f", *[F.when(F.col(d).isin(known[d]), F.col(d)).otherwise(F.lit(REST)) for d in dimensions])
-        keyed = pool.select("decision_id", *dimensions, cell.alias("cell"))
-        sizes = sorted((r.cell, r.n) for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
-        total = sum(n for _, n in sizes)
-        size = int(total * fraction + 1e-9)
-        codes = np.array([[(known[d].index(v) if v else len(known[d])) for d, v in zip(dimensions, c.split("\x1f"))] for c, _ in sizes]).reshape(-1, len(dimensions))
-        shares = []
-        for d in dimensions:
-            share = np.array([pct for dim, _, pct, _ in wanted if dim == d] + [0], dtype=float)
-            if not share.sum():
-                share[-1] = 1.0
-            shares.append(share / share.sum())
-        held = {
-            (d, c): sum(n for (_, n), code in zip(sizes, codes) if code[i] == k)
-            for i, d in enumerate(dimensions) for k, c in enumerate(known[d])
-        }
-
-        floor_targets = spark.createDataFrame([(d, c, least) for d, c, _, least in wanted] or [("", "", 0)], "dimension string, category string, least int")
-        long = keyed.select("decision_id", "cell", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dimensions])).alias("v"))
-        long = long.select("decision_id", "cell", "v.*").join(F.broadcast(floor_targets), ["dimension", "category"])
-        floors = hash_rank(long, ["dimension", "category"], "decision_id", seed, quota="least").select("decision_id", "cell").distinct()
-        floor_cells = {r.cell: r.n for r in floors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-        counts = np.array([n for _, n in sizes], dtype=np.int64)
-        taken = np.array([floor_cells.get(c, 0) for c, _ in sizes], dtype=np.int64)
-        fit = fitted_cells(counts, codes, shares, size) if len(counts) else np.zeros(0)
-        seats = divisor_seats(np.maximum(fit - taken, 0), counts - taken, max(0, size - int(taken.sum()))) if len(counts) else np.zeros(0, dtype=np.int64)
-        plan = spark.createDataFrame(
-            [(c, float(t), int(s)) for (c, _), t, s in zip(sizes, np.maximum(fit - taken, 0), seats)] or [("\x1f", 0.0, 0)], "cell string, target double, seats bigint"
-        )
-        rest = keyed.join(floors.select("decision_id"), "decision_id", "left_anti").join(F.broadcast(plan), "cell")
-        drawn = hash_rank(rest, ["cell"], "decision_id", seed, quota="seats")
-        floor_rows = keyed.join(floors.select("decision_id"), "decision_id", "left_semi")
-        self.rows = floor_rows.select("decision_id", *dimensions, F.lit(True).alias("floor"), F.lit(None).cast("double").alias("priority")).unionByName(
-            drawn.select(
-                "decision_id", *dimensions, F.lit(False).alias("floor"),
-                F.when(F.col("target") > 0, (F.col("hash_rank") - 0.5) / F.col("target")).alias("priority"),
-            )
-        )
-        got = self.rows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dimensions])).alias("v")).select("v.*").groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("drawn"))
-        needs = spark.createDataFrame(
-            [(d, c, pct, least, max(least, -(-pct * size // 100)), held.get((d, c), 0)) for d, c, pct, least in wanted],
-            "dimension string, category string, target_pct int, min_rows int, needed bigint, pool_rows bigint",
-        )
-        self.needs = needs.withColumn("can_be_met", F.col("pool_rows") >= F.col("needed"))
+        wanted = [t for t in _targets(targets) if t[0] in dimensions]
+        values = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dimensions]))
+        named = F.broadcast(spark.createDataFrame([t[:2] for t in wanted] or [("", "")], "dimension string, category string"))
+        long = pool.select("decision_id", values.alias("v")).select("decision_id", "v.*").join(named, ["dimension", "category"])
+        size = int(pool.count() * fraction + 1e-9)
+        held = {(r.dimension, r.category): r.n for r in long.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+        plan = []
+        for dimension in dimensions:
+            own = [t for t in wanted if t[0] == dimension]
+            counts = np.array([held.get(t[:2], 0) for t in own], dtype=np.int64)
+            seats = divisor_seats(np.array([t[2] for t in own]), counts, size, np.array([t[3] for t in own], dtype=np.int64)) if own else []
+            plan += [
+                (d, c, float(pct), least, max(least, -(-pct * size // 100)), int(n), int(s)) for (d, c, pct, least), n, s in zip(own, counts, seats)
+            ]
+        table = spark.createDataFrame(plan, "dimension string, category string, target double, least int, needed bigint, pool_rows bigint, seats bigint")
+        drawn = hash_rank(long.join(F.broadcast(table), ["dimension", "category"]), ["dimension", "category"], "decision_id", seed, quota="seats")
+        floor = F.col("hash_rank") <= F.col("least")
+        priority = F.when(F.col("target") > 0, (F.col("hash_rank") - 0.5) / F.col("target"))
+        self.rows = drawn.select("dimension", "category", "decision_id", F.col("hash_rank").alias("rank"), floor.alias("floor"), priority.alias("priority"))
+        got = self.rows.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("drawn"))
         self.report = (
-            self.needs.join(got, ["dimension", "category"], "left")
+            table.join(got, ["dimension", "category"], "left")
             .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-            .withColumn("met", F.col("drawn") >= F.col("needed"))
-            .withColumn("sample_pct", F.round(F.col("drawn") * 100.0 / max(1, size), 3))
+            .select(
+                "dimension", "category", F.col("target").cast("int").alias("target_pct"), F.col("least").alias("min_rows"), "needed", "pool_rows", "drawn",
+                (F.col("pool_rows") >= F.col("needed")).alias("can_be_met"),
+                F.round(F.col("drawn") * 100.0 / max(1, size), 3).alias("sample_pct"),
+            )
         )
