@@ -12,7 +12,8 @@ list, however hot, is held by one task. Exact copies (any length of vector, same
 searching, however many there are, and get expanded to rows at the end.
 
 Defined cases: a vector is usable if it has ``dims`` finite numbers, not all 0; its length is immaterial; a repeated id
-counts once, with the smallest of its usable vectors; NULL ids are dropped; equal similarities go to the smaller id;
+counts once, with the smallest of its usable vectors; NULL ids are dropped; similarities equal to ``SIM_DIGITS`` digits go to
+the smaller id;
 fewer than k other rows give fewer neighbours; no usable row gives an empty result.
 """
 
@@ -30,6 +31,9 @@ from gavelgrid.llm.storage import stored
 from gavelgrid.sources.tables import require
 
 
+SIM_DIGITS = 6  # similarities are compared to so many digits, so that rounding of float32 doesn't break ties
+
+
 @dataclass(frozen=True)
 class Params:
     dims: int = 64
@@ -212,7 +216,7 @@ def search_classes(reps: DataFrame, p: Params) -> DataFrame:
         for at in range(0, len(queries), 1024):
             part = queries.iloc[at : at + 1024]
             own = part["rep"].to_numpy()
-            sims = _unpack(part["vec"], p.dims) @ rows.T
+            sims = np.round(_unpack(part["vec"], p.dims) @ rows.T, SIM_DIGITS)
             sims[own[:, None] == ids[None, :]] = -2
             top = min(wanted, len(ids))
             if len(ids) > top:
@@ -246,7 +250,7 @@ def nearest(table: DataFrame, p: Params = Params()) -> DataFrame:
     heads = firsts.join(reps.select("rep", "vec"), "vec").select("rep", "heads")
     own = heads.select("rep", F.col("rep").alias("other"), F.lit(1.0).cast("float").alias("sim"))
     lists = near.unionByName(own).join(heads.select(F.col("rep").alias("other"), "heads"), "other")
-    per_class = lists.groupBy("rep").agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("heads"))).alias("c"))
+    per_class = lists.groupBy("rep").agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("heads"))).alias("c"))  # at most k + 2 classes
     ordered = F.array_sort(F.flatten(F.transform("c", lambda x: F.transform(x["heads"], lambda h: F.struct(x["far"].alias("far"), h.alias("id"))))))
     candidates = per_class.select("rep", F.slice(ordered, 1, p.k + 1).alias("best"))
     rows = member_of.join(candidates, "rep").select("id", F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, p.k).alias("best"))
