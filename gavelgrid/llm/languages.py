@@ -14,8 +14,8 @@ Stretches: the word scores go through a Viterbi search in which a change of lang
 ``Params.switch_letters`` letters of average evidence, so quotations and names don't break a stretch.
 
 Fitting: prototypes start from short word lists and are then bundled from a bounded sample of labelled texts
-(``Params.fit_texts`` per label, by hash). Labels may be wrong, so a text counts for the language that the profiles of
-the round before see in it, and only with a clear lead. Everything else runs over all texts, whole.
+(``Params.fit_texts`` per label, by hash). Labels may be wrong and texts mixed, so each stretch counts for the language
+that the profiles of the round before hear in it, and only with a clear lead. Everything else runs over all texts, whole.
 
 Defined cases: NULL, empty and letterless texts have no stretches and no language; letters outside the alphabet count
 as blanks; fewer than ``min_letters`` letters are no case; equal scores go to the language first in ``LANGS``; without
@@ -116,29 +116,6 @@ def _weights(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(share)
 
 
-def fit_profiles(texts: list[tuple[str, str]], p: Params = Params()) -> Profiles:
-    """Profiles from (label, text) rows; labels are only hints."""
-    size = len(ALPHABET) ** 3
-    seeds = np.stack([np.bincount(trigrams(letters(SEED_WORDS[lang])[0]), minlength=size) for lang in LANGS]).astype(float)
-    profiles, seen = Profiles(_weights(seeds), p.seed), [letters(text)[0] for _, text in texts]
-    for _ in range(p.rounds):
-        counts = seeds.copy()
-        margins = []
-        for codes in seen:
-            if np.count_nonzero(codes) < p.min_letters:
-                continue
-            sums = profiles.scores(codes).sum(axis=0)
-            order = np.argsort(-sums, kind="stable")
-            lead = sums[order[0]] - sums[order[1]]
-            if lead > 0.25 * abs(sums[order[0]]):
-                counts[order[0]] += np.bincount(trigrams(codes), minlength=size)
-                margins.append(lead / len(codes))
-        profiles = Profiles(_weights(counts), p.seed)
-        leads = [(lambda s: s[-1] - s[-2])(np.sort(profiles.scores(c).sum(axis=0))) / len(c) for c in seen[:500] if np.count_nonzero(c) >= p.min_letters]
-        profiles.evidence = float(np.median(leads)) if leads else 1.0
-    return profiles
-
-
 def _viterbi(emissions: list[np.ndarray], cost: float) -> list[np.ndarray]:
     """Best language per word for many texts at once."""
     longest = max(map(len, emissions))
@@ -163,6 +140,53 @@ def _viterbi(emissions: list[np.ndarray], cost: float) -> list[np.ndarray]:
     return [path[i, : len(e)] for i, e in enumerate(emissions)]
 
 
+def _decoded(texts: list[np.ndarray], profiles: Profiles, p: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, starts of its words, scores of its words, language of its words) of texts with letters."""
+    work = []
+    for i, codes in enumerate(texts):
+        if not codes.any():
+            continue
+        blank = codes == 0
+        word = np.cumsum(blank)  # a blank goes to the word after it
+        if blank[-1]:
+            word[-1] -= 1
+        if blank[0]:
+            word -= word[0]
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        work.append((i, starts, np.add.reduceat(profiles.scores(codes), starts, axis=0)))
+    work.sort(key=lambda w: len(w[1]))
+    for at in range(0, len(work), 32):
+        group = work[at : at + 32]
+        for (i, starts, sums), path in zip(group, _viterbi([w[2] for w in group], p.switch_letters * profiles.evidence)):
+            yield i, starts, sums, path
+
+
+def fit_profiles(texts: list[tuple[str, str]], p: Params = Params()) -> Profiles:
+    """Profiles from (label, text) rows. A stretch counts for the language the round before hears in it, if the lead is
+    clear; labels only chose the sample."""
+    size = len(ALPHABET) ** 3
+    seeds = np.stack([np.bincount(trigrams(letters(SEED_WORDS[lang])[0]), minlength=size) for lang in LANGS]).astype(float)
+    sample = [codes for codes, _ in (letters(text) for _, text in texts) if np.count_nonzero(codes) >= p.min_letters]
+    profiles = Profiles(_weights(seeds), p.seed)
+    for turn in range(p.rounds + 1):
+        counts, leads = seeds.copy(), []
+        for i, starts, sums, path in _decoded(sample, profiles, p):
+            edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+            for first, last in zip(edges, [*edges[1:], len(path)]):
+                codes = sample[i][starts[first] : starts[last] if last < len(starts) else len(sample[i])]
+                ranked = np.sort(sums[first:last].sum(axis=0))
+                if np.count_nonzero(codes) >= p.min_letters and ranked[-1] - ranked[-2] > 0.25 * abs(ranked[-1]):
+                    counts[path[first]] += np.bincount(trigrams(codes), minlength=size)
+                    leads.append((ranked[-1] - ranked[-2]) / len(codes))
+        evidence = float(np.median(leads)) if leads else profiles.evidence
+        if turn == p.rounds:
+            profiles.evidence = min(evidence, 2.0)
+            break
+        profiles = Profiles(_weights(counts), p.seed)
+        profiles.evidence = min(evidence, 2.0)  # profiles of a few texts are surer than they should be
+    return profiles
+
+
 _BREAK = re.compile(r"[.;:!?»”\"][ \t\n]+(?=[A-ZÀ-Ý«])|\n\s*")
 
 
@@ -176,40 +200,24 @@ def _snapped(text: str, place: int, reach: int = 25) -> int:
 def stretches(texts: list[str | None], profiles: Profiles, p: Params) -> list[list[tuple[int, int, str, float, int]]]:
     """Per text: (char_start, char_end, language, confidence, letters) of every stretch."""
     found: list[list[tuple[int, int, str, float, int]]] = [[] for _ in texts]
-    work = []
-    for i, text in enumerate(texts):
-        codes, places = letters(text or "")
-        if not codes.any():
-            continue
-        blank = codes == 0
-        word = np.cumsum(blank)  # a blank goes to the word after it
-        if blank[-1]:
-            word[-1] -= 1
-        if blank[0]:
-            word -= word[0]
-        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        sums = np.add.reduceat(profiles.scores(codes), starts, axis=0)
-        work.append((i, codes, places, starts, sums))
-    for at in range(0, len(work), 256):
-        part = sorted(work[at : at + 256], key=lambda w: len(w[3]))
-        for group in (part[x : x + 32] for x in range(0, len(part), 32)):
-            paths = _viterbi([w[4] for w in group], p.switch_letters * profiles.evidence)
-            for (i, codes, places, starts, sums), path in zip(group, paths):
-                text = texts[i]
-                edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-                cuts = [0, *[_snapped(text, int(places[starts[e] + (codes[starts[e]] == 0)])) for e in edges[1:]], len(text)]
-                for number, (first, last) in enumerate(zip(edges, [*edges[1:], len(path)])):
-                    a, b = starts[first], starts[last] if last < len(starts) else len(codes)
-                    n_letters = int(np.count_nonzero(codes[a:b]))
-                    whole = text[cuts[number] : cuts[number + 1]]
-                    if not n_letters or not whole.strip():
-                        continue
-                    _, times = np.unique(trigrams(codes[a:b]), return_counts=True)
-                    cosine = sums[first:last].sum(axis=0) / np.sqrt(DIMS * np.square(times.astype(float)).sum())
-                    odds = np.exp(p.sharpness * (cosine - cosine.max()))
-                    lang = path[first]
-                    begin = cuts[number] + len(whole) - len(whole.lstrip())
-                    found[i].append((begin, begin + len(whole.strip()), LANGS[lang], float(odds[lang] / odds.sum()), n_letters))
+    lettered = [letters(text or "") for text in texts]
+    for i, starts, sums, path in _decoded([codes for codes, _ in lettered], profiles, p):
+        codes, places = lettered[i]
+        text = texts[i]
+        edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        cuts = [0, *[_snapped(text, int(places[starts[e] + (codes[starts[e]] == 0)])) for e in edges[1:]], len(text)]
+        for number, (first, last) in enumerate(zip(edges, [*edges[1:], len(path)])):
+            a, b = starts[first], starts[last] if last < len(starts) else len(codes)
+            n_letters = int(np.count_nonzero(codes[a:b]))
+            whole = text[cuts[number] : cuts[number + 1]]
+            if not n_letters or not whole.strip():
+                continue
+            _, times = np.unique(trigrams(codes[a:b]), return_counts=True)
+            cosine = sums[first:last].sum(axis=0) / np.sqrt(DIMS * np.square(times.astype(float)).sum())
+            odds = np.exp(p.sharpness * (cosine - cosine.max()))
+            lang = path[first]
+            begin = cuts[number] + len(whole) - len(whole.lstrip())
+            found[i].append((begin, begin + len(whole.strip()), LANGS[lang], float(odds[lang] / odds.sum()), n_letters))
     return found
 
 
