@@ -12,7 +12,7 @@ toxic that the round before does not find toxic leave the toxic class, and toxic
 the ordinary class. Everything else runs over all documents, whole.
 
 Disguises are undone before anything is counted: invisible characters, digits and signs for letters, spelt-out and
-stretched words, look-alike letters. Figures count as one sign.
+stretched words, look-alike letters. Figures become ``0``, or ``00`` from three signs on.
 
 Defined cases: NULL and empty texts score 0; documents rated twice count as toxic if most ratings say so (a tie does
 not); with labels of only one class every score is 0; unknown labels other than ``ok`` count as toxic; NULL labels are
@@ -44,6 +44,7 @@ class Params:
     fit_toxic: int = 2500  # labelled documents
     fit_ordinary: int = 5000
     rounds: int = 3
+    noise: float = 0.06  # wrong labels the first models allow for
     clean: float = 0.2  # sentences from this score on count as toxic while fitting
     repeated: int = 3  # sentences seen so often are judged by their labels while fitting, where these are clear
     threshold: float = 0.47  # documents from this score on are toxic
@@ -58,7 +59,9 @@ _LOOKALIKE = str.maketrans("аеорсухіѕјһԁԛԝο", "aeopcyxisjhdqwo")
 _INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 _DISGUISED = re.compile(r"(?<![\w@$])(?=[\w@$!€]*[a-zà-ÿ][\w@$!€]*[a-zà-ÿ])(?=[\w@$!€]*[0-9@$€!][\w@$!€]*[a-zà-ÿ0-9])[\w@$!€]*[\w@$€]")
 _SPELT = re.compile(r"(?<!\w)(?:[a-zà-ÿ][ .\-_*·]){3,}[a-zà-ÿ](?!\w)")
-_SENTENCE = re.compile(r"(?<=[^\d\s][.!?;])\s+(?=[^\d\s])|\n+\s*")
+_FIGURE = re.compile(r"[0-9](?:[0-9'.,]*[0-9])?")
+# a dot after a short figure counts (3. May), after a long one it ends a sentence (in 2004.)
+_SENTENCE = re.compile(r"(?:(?<=[^\d\s][.!?;])|(?<=00[.!?;]))\s+(?=[^\d\s])|\n+\s*")
 _CODES = np.full(0x250, SIGNS.index("-"), dtype=np.int64)
 for _i, _c in enumerate(SIGNS):
     _CODES[ord(_c)] = _i
@@ -75,7 +78,7 @@ def plain(text: str) -> str:
     low = _SPELT.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), low)
     low = _DISGUISED.sub(lambda m: m.group().translate(_LEET), low)
     low = re.sub(r"([^\d\s])\1{2,}", r"\1", low)
-    return re.sub(r"[0-9](?:[0-9'.,]*[0-9])?", "0", low)
+    return _FIGURE.sub(lambda m: "0" if len(m.group()) < 3 else "00", low)
 
 
 def sentences(text: str) -> list[str]:
@@ -146,25 +149,38 @@ class Level:
         return _find(self.grams, self.share, grams, 0.0) + _find(self.contexts, self.backoff, grams >> _BITS, 1.0) * below
 
 
-def _levels(parts: list[str], orders: range) -> list[Level]:
+def _levels(counted: tuple[np.ndarray, np.ndarray], orders: range) -> list[Level]:
     """Kneser-Ney levels: raw counts at the top, continuation counts (distinct letters in front) below."""
-    made = [Level(*_counted(parts, orders[-1]))]
+    made = [Level(*counted)]
     for order in reversed(orders[:-1]):
         lower = made[-1].grams & ((1 << (_BITS * order)) - 1)
         made.append(Level(*_merged(lower, np.ones(len(lower), dtype=np.int64))))
     return made[::-1]
 
 
+def _without_noise(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts less what wrong labels would bring over from the other class, at the same size of both classes."""
+    (grams, counts), (theirs, their_counts) = own, other
+    foreign = _find(theirs, their_counts, grams, 0) * (noise * counts.sum() / max(1, their_counts.sum()))
+    left = np.ceil(counts - foreign).astype(np.int64)
+    keep = left > 0
+    return grams[keep], left[keep]
+
+
 class ToxicityModel:
     """Score of a sentence: length-normalised difference of toxic and ordinary log-likelihood."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], p: Params) -> None:
+    def __init__(self, toxic: list[str], ordinary: list[str], p: Params, noise: float = 0.0) -> None:
         self.padding, self.window = p.padding, p.window
         self.usable = bool(toxic) and bool(ordinary)
         if self.usable:
-            self.shared = _levels(toxic + ordinary, range(1, SHARED + 1))
-            self.toxic = _levels(toxic, range(SHARED + 1, ORDER + 1))
-            self.ordinary = _levels(ordinary, range(SHARED + 1, ORDER + 1))
+            self.shared = _levels(_counted(toxic + ordinary, SHARED), range(1, SHARED + 1))
+            orders = range(SHARED + 1, ORDER + 1)
+            yes, no = _counted(toxic, ORDER), _counted(ordinary, ORDER)
+            if noise:
+                yes, no = _without_noise(yes, no, noise), _without_noise(no, yes, noise)
+            self.toxic, self.ordinary = _levels(yes, orders), _levels(no, orders)
+            self.usable = bool(len(yes[0])) and bool(len(no[0]))
 
     def scores(self, parts: list[str]) -> np.ndarray:
         if not parts or not self.usable:
@@ -195,14 +211,14 @@ def fit_model(rows: list[tuple[bool, str]], p: Params = Params()) -> ToxicityMod
     for label, text in rows:
         parts[label] += sentences(text)
     toxic, ordinary = parts[True], parts[False]
-    model = ToxicityModel(toxic, ordinary, p)
+    model = ToxicityModel(toxic, ordinary, p, p.noise)
     seen = {label: Counter(parts[label]) for label in (True, False)}
 
     def is_toxic(sentence: str, value: float, limit: float) -> bool:
         """What the labels say of a sentence that is often repeated, else what the model says."""
         yes, no = seen[True][sentence] / max(1, len(parts[True])), seen[False][sentence] / max(1, len(parts[False]))
-        if seen[True][sentence] + seen[False][sentence] >= p.repeated and not yes / 4 < no < yes * 4:
-            return yes > no
+        if seen[True][sentence] + seen[False][sentence] >= p.repeated and not no * 6 < yes < no * 12:
+            return yes > no * 6  # greetings and the like are a few times more usual where people insult
         return value >= limit
 
     for turn in range(p.rounds if model.usable else 0):
