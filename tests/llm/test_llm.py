@@ -348,8 +348,8 @@ def test_passages_keep_the_order():
 
 
 def test_plain_undoes_disguises():
-    assert toxicity.plain("Du 1d1ot, s.a.l.o.p.e, FIIIIICK! Drec​ksack am 3.4.2020") == "du idiot, salope, fick! drecksack am 0"
-    assert toxicity.plain("Art. 19a OR, Fr. 1'000.–") == "art. 0a or, fr. 0.-"
+    assert toxicity.plain("Du 1d1ot, s.a.l.o.p.e, FIIIIICK! Drec​ksack am 3.4.2020") == "du idiot, salope, fick! drecksack am 00"
+    assert toxicity.plain("Art. 19a OR, Fr. 1'000.–") == "art. 0a or, fr. 00.-"
 
 
 def _rated(spark, n=400):
