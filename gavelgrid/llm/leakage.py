@@ -6,9 +6,9 @@ place in the test text, so hits of one copied passage meet on one diagonal. Docu
 are compared word by word: runs of exactly matching phrases that lie near each other (proximity) make a passage, the
 passages of a document are chained in the test text's order, and the share of the test text they span decides.
 
-What is kept of the index are the postings of the terms that test windows are looked up by. The test texts are a small
-table by nature; it is read through ordinary joins, not through the driver. A frequent term is only looked up where a
-window holds nothing rarer. Postings are counted per (document, test text, diagonal) before they meet anything else, so
+What is kept of the index are the postings of the terms that test windows are looked up by. The terms of the test texts
+are sent to the documents while there are at most ``BROADCAST_ROWS`` of them, else both sides are shuffled. A frequent
+term is only looked up where a window holds nothing rarer. Postings are counted per (document, test text, diagonal) before they meet anything else, so
 a term's postings are never in one task.
 
 Words: lower case, accents and ``ß`` folded, words cut by a hyphen at a line end joined, separators inside figures and
@@ -35,6 +35,7 @@ from gavelgrid.sources.tables import require
 # Letters with marks and what they are folded to.
 MARKED = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿšž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyysz"
+BROADCAST_ROWS = 500_000  # a table of test terms up to this size is broadcast
 
 
 @dataclass(frozen=True)
@@ -69,20 +70,24 @@ def test_texts(items: DataFrame) -> DataFrame:
 
 def _pairs(words: Column) -> Column:
     """Terms: neighbouring words."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))
-    )
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(F.size(words) > 1, pairs)
 
 
 def postings(rows: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
     """Positional postings: keys, pos, term."""
-    return rows.filter(F.size(words) > 1).select(*keys, F.posexplode(_pairs(F.col(words))).alias("pos", "term"))
+    return rows.select(*keys, F.posexplode(_pairs(F.col(words))).alias("pos", "term"))
+
+
+def _bounded(small: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` rows for a join: sent to all executors if that is little, else left to a shuffle."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
 def lookups(texts: DataFrame, documents: DataFrame, p: Params) -> DataFrame:
     """(item_id, field, win, pos, term, windows): the rarest term of every window of the test texts."""
-    places = postings(texts, ["item_id", "field"])
-    vocabulary = places.select("term").distinct()
+    places = stored(postings(texts, ["item_id", "field"]))
+    vocabulary = _bounded(places.select("term").distinct(), places.count())
     counts = (
         postings(documents, ["doc_id"]).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -95,10 +100,9 @@ def lookups(texts: DataFrame, documents: DataFrame, p: Params) -> DataFrame:
 def candidates(documents: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """(doc_id, item_id, field): documents that hold enough windows of a test text on one diagonal."""
     looked = stored(lookups(texts, documents, p))
-    found = stored(
-        postings(documents, ["doc_id"]).join(looked.select("term").distinct(), "term", "left_semi")
-    )
-    hits = found.select("doc_id", "term", F.col("pos").alias("at")).join(looked, "term")
+    few = looked.count()
+    found = stored(postings(documents, ["doc_id"]).join(_bounded(looked.select("term").distinct(), few), "term", "left_semi"))
+    hits = found.select("doc_id", "term", F.col("pos").alias("at")).join(_bounded(looked, few), "term")
     shift = F.col("at") - F.col("pos")
     # a diagonal belongs to two overlapping bands, so near hits always share one
     bands = F.array(F.floor(shift / p.diagonal) * 2, F.floor((shift + p.diagonal // 2) / p.diagonal) * 2 + 1)
@@ -160,7 +164,9 @@ def passages(test: list[str], document: list[str], p: Params) -> tuple[float, fl
 def leaks(documents: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, item_id, field, spanned, matched, longest): the test texts that documents hold."""
     rows = require(documents, doc_id="bigint", text="string").filter("doc_id IS NOT NULL AND text <> ''")
-    words = rows.select("doc_id", folded_words(F.col("text")).alias("words"))
+    # folded once, kept as one string per document
+    folded = stored(rows.select("doc_id", F.array_join(folded_words(F.col("text")), " ").alias("folded")).filter("folded <> ''"))
+    words = folded.select("doc_id", F.split("folded", " ").alias("words"))
     texts = test_texts(items)
     near = stored(candidates(words, texts, p))
     pairs = (
