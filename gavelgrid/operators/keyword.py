@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelgrid.functions.text import STOPWORDS, fold_accents, words
+from gavelgrid.session import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -18,6 +19,11 @@ def term_counts(documents: DataFrame, key: str, text: str, tokens=words) -> Data
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def build_index(documents: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
+    """Postings (key, term, tf), written once: sizes, lengths, frequencies and weights all read them."""
+    return checkpointed(term_counts(documents, key, text, tokens))
+
+
 def document_lengths(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy(key).agg(F.sum("tf").alias("dl"))
 
@@ -43,7 +49,7 @@ def bm25_search(documents: DataFrame, key: str, text: str, queries: DataFrame, q
 
     Only the postings of query terms get weights; statistics still come from all documents.
     """
-    postings = term_counts(documents, key, text, tokens)
+    postings = build_index(documents, key, text, tokens)
     total, mean_length = corpus_size(postings, key)
     asked = queries.select(F.col(query), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     live = postings.join(asked.select("term").distinct(), "term", "left_semi")
@@ -82,7 +88,7 @@ def broad_search(documents: DataFrame, key: str, text: str, queries: DataFrame,
     """(query, key, tier, score, rank): documents with all terms first (tier 0), then those with any, by BM25."""
     asked = queries.select(F.col(query), broad_terms(F.col(query_text)).alias("terms")).filter(F.size("terms") > 0)
     terms = asked.select(query, F.explode("terms").alias("t"), F.size("terms").alias("n")).select(query, F.lower("t").alias("term"), "n")
-    postings = term_counts(documents, key, text)
+    postings = build_index(documents, key, text)
     total, mean_length = corpus_size(postings, key)
     live = postings.join(terms.select("term").distinct(), "term", "left_semi")
     weighted = _weights(live, document_lengths(postings, key), key, total, mean_length)

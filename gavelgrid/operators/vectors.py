@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelgrid.functions.text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed in order."""
@@ -17,8 +19,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit vector; the zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bind(F.sqrt(dot(v, v)), scaled)
 
 
 def hashed_encoder(dims: int = 64) -> Callable[[Column], Column]:

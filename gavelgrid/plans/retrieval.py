@@ -361,7 +361,7 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     passages = chunks.groupBy("id").agg(F.max("decision_id").alias("document"), F.max("text").alias("text"))
     asked = chunks.filter("section = 'regeste' AND id % 20 = 0").groupBy(F.col("id").alias("query")).agg(F.max("text").alias("text"))
 
-    postings = keyword.term_counts(passages, "id", "text")
+    postings = keyword.build_index(passages, "id", "text")
     total, mean_length = keyword.corpus_size(postings, "id")
     terms = asked.select("query", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
     weights = keyword.bm25_postings_of(postings, terms.select("term").distinct(), "id", total, mean_length)

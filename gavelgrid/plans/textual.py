@@ -122,7 +122,7 @@ w AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf
 
 @query("bm25_postings", f"WITH {_BM25} SELECT doc_id, term, round(w, 6) AS w FROM w")
 def bm25_postings(spark: SparkSession, base: str) -> DataFrame:
-    postings = keyword.term_counts(table(spark, base, "documents", ("doc_id", "text")), "doc_id", "text")
+    postings = keyword.build_index(table(spark, base, "documents", ("doc_id", "text")), "doc_id", "text")
     return keyword.bm25_postings(postings, "doc_id", *keyword.corpus_size(postings, "doc_id")).withColumn("w", F.round("w", 6))
 
 

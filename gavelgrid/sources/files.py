@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shard_files(root: str, courts: Iterable[str] | None = None) -> list[str]:
@@ -90,10 +89,6 @@ def write_report(df: DataFrame, path: str, config: dict) -> None:
     df.write.mode("overwrite").json(f"{path}/config={name}")
 
 
-def nested(schema: str) -> T.StructType:
-    return T._parse_datatype_string(schema)
-
-
 def page_to_text(elements: Column) -> Column:
     """Markdown of a parsed page, array<struct<type, level, text>>: headings, bullets, no headers, footers, pictures."""
     kept = F.filter(elements, lambda e: ~e["type"].isin("page_header", "page_footer", "picture") & (F.trim(e["text"]) != ""))
