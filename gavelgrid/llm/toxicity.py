@@ -85,12 +85,11 @@ def sentences(text: str) -> list[str]:
     return [s for s in (part.strip(" \t>") for part in _SENTENCE.split(plain(text))) if s]
 
 
-def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes with sentence starts, number of the sentence of each code)."""
+def _codes(parts: list[str]) -> np.ndarray:
+    """Codes of the signs, 0 at the start of each sentence."""
     joined = "\x00".join(["", *parts])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], SIGNS.index("-"))
-    return codes, np.cumsum(codes == 0) - 1
+    return np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], SIGNS.index("-"))
 
 
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -117,7 +116,7 @@ def _counted(parts: list[str], order: int, step: int = 5000) -> tuple[np.ndarray
     """Distinct n-grams of the sentences and their counts, a bounded number of sentences at a time."""
     grams, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for at in range(0, len(parts), step):
-        codes, _ = _codes(parts[at : at + step])
+        codes = _codes(parts[at : at + step])
         own = _grams(codes, order)[codes > 0]
         grams, counts = _merged(np.concatenate([grams, own]), np.concatenate([counts, np.ones(len(own), dtype=np.int64)]))
     return grams, counts
@@ -145,8 +144,26 @@ class Level:
         self.grams = grams
         self.share = (counts - discount) / np.repeat(totals, kinds) if len(grams) else np.zeros(0)
 
-    def refine(self, grams: np.ndarray, below: np.ndarray) -> np.ndarray:
-        return _find(self.grams, self.share, grams, 0.0) + _find(self.contexts, self.backoff, grams >> _BITS, 1.0) * below
+
+class Table:
+    """One order of both classes: per n-gram its discounted shares, and its weights of backing off as a context.
+
+    A context of the next order is an n-gram of this order that ends one sign earlier, so one lookup per sign and order
+    serves both.
+    """
+
+    def __init__(self, own: list[Level], following: list[Level] | None) -> None:
+        parts = [level.grams for level in own] + [level.contexts for level in following or []]
+        self.keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+        last = np.zeros(1)  # the row of an unseen n-gram
+        self.shares = [np.append(_find(level.grams, level.share, self.keys, 0.0), last).astype(np.float32) for level in own]
+        self.backoffs = [np.append(_find(level.contexts, level.backoff, self.keys, 1.0), last + 1).astype(np.float32) for level in following or own]
+
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(grams), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.where(self.keys[at] == grams, at, len(self.keys))
 
 
 def _levels(counted: tuple[np.ndarray, np.ndarray], orders: range) -> list[Level]:
@@ -174,25 +191,36 @@ class ToxicityModel:
         self.padding, self.window = p.padding, p.window
         self.usable = bool(toxic) and bool(ordinary)
         if self.usable:
-            self.shared = _levels(_counted(toxic + ordinary, SHARED), range(1, SHARED + 1))
             orders = range(SHARED + 1, ORDER + 1)
             yes, no = _counted(toxic, ORDER), _counted(ordinary, ORDER)
             if noise:
                 yes, no = _without_noise(yes, no, noise), _without_noise(no, yes, noise)
-            self.toxic, self.ordinary = _levels(yes, orders), _levels(no, orders)
+            shared = [[level] for level in _levels(_counted(toxic + ordinary, SHARED), range(1, SHARED + 1))]
+            levels = shared + [list(pair) for pair in zip(_levels(yes, orders), _levels(no, orders))]
+            self.tables = [Table(own, following) for own, following in zip(levels, [*levels[1:], None])]
+            self.root = [float(level.backoff[0]) if len(level.backoff) else 1.0 for level in levels[0]]
             self.usable = bool(len(yes[0])) and bool(len(no[0]))
 
     def scores(self, parts: list[str]) -> np.ndarray:
         if not parts or not self.usable:
             return np.zeros(len(parts))
-        codes, number = _codes(parts)
-        below = np.full(len(codes), 1 / len(SIGNS))
-        for order, level in enumerate(self.shared, 1):
-            below = level.refine(_grams(codes, order), below)
-        a = b = below
-        for order, (toxic, ordinary) in enumerate(zip(self.toxic, self.ordinary), SHARED + 1):
-            grams = _grams(codes, order)
-            a, b = toxic.refine(grams, a), ordinary.refine(grams, b)
+        codes = _codes(parts)
+        place = np.arange(len(codes))
+        first = np.maximum.accumulate(np.where(codes == 0, place, 0))
+        grams = np.zeros(len(codes), dtype=np.int64)
+        chance = [np.full(len(codes), self.root[0] / len(SIGNS))]
+        before: np.ndarray | None = None
+        for order, table in enumerate(self.tables, 1):
+            grams |= codes[np.maximum(place - order + 1, first)] << (_BITS * (order - 1))
+            rows = table.rows(grams)
+            if order == 1:
+                chance = [chance[0] + table.shares[0][rows]]
+            else:
+                weights = [w[before] for w in self.tables[order - 2].backoffs]
+                chance = chance * (len(weights) // len(chance))
+                chance = [share[rows] + weight * below for share, weight, below in zip(table.shares, weights, chance)]
+            before = np.concatenate([rows[:1], rows[:-1]])
+        a, b = chance
         ratio = np.where(codes > 0, np.log(np.maximum(a, 1e-12)) - np.log(np.maximum(b, 1e-12)), 0.0)
         starts = np.flatnonzero(codes == 0)
         ends = np.concatenate([starts[1:], [len(codes)]])
@@ -200,7 +228,7 @@ class ToxicityModel:
         whole = (running[ends] - running[starts]) / (ends - starts - 1 + self.padding)
         # the best stretch of ``window`` signs inside a longer sentence
         stretch = np.full(len(codes), -np.inf)
-        inside = np.flatnonzero(np.arange(len(codes)) + self.window <= np.repeat(ends, ends - starts))
+        inside = np.flatnonzero(place + self.window <= np.repeat(ends, ends - starts))
         stretch[inside] = (running[inside + self.window] - running[inside]) / (self.window + self.padding)
         return np.maximum(whole, np.maximum.reduceat(stretch, starts))
 
@@ -257,8 +285,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Tox
     votes = rated.groupBy("doc_id").agg(F.avg(toxic.cast("int")).alias("share")).select("doc_id", (F.col("share") > 0.5).alias("toxic"))
     quota = votes.withColumn("quota", F.when(F.col("toxic"), F.lit(p.fit_toxic)).otherwise(F.lit(p.fit_ordinary)))
     picked = F.broadcast(hash_rank(quota, ["toxic"], "doc_id", p.seed, quota="quota").select("doc_id", "toxic"))  # the two quotas
-    texts = require(documents, doc_id="bigint", text="string").filter("text <> ''").join(picked, "doc_id").select("doc_id", "toxic", "text")
-    rows = texts.limit(2 * (p.fit_toxic + p.fit_ordinary)).collect()
+    texts = require(documents, doc_id="bigint", text="string").filter("text <> ''").join(picked, "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text per document of the quotas
     return fit_model([(r.toxic, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], p)
 
 
