@@ -231,7 +231,7 @@ def fit_on(table: DataFrame, key: str, label: str, text: str, p: Params = Params
     ).filter("k IS NOT NULL AND l IS NOT NULL AND t <> ''")
     quota = rows.select("k", "l").distinct().withColumn("quota", F.lit(p.fit_texts))
     picked = F.broadcast(hash_rank(quota, ["l"], "k", p.seed, quota="quota").select("k", "l"))  # fit_texts x languages
-    sample = rows.join(picked, ["k", "l"]).select("l", F.substring("t", 1, 20_000).alias("t")).limit(3 * p.fit_texts * len(LANGS)).collect()
+    sample = rows.join(picked, ["k", "l"]).groupBy("k", "l").agg(F.min("t").alias("t")).collect()  # one text per key
     return fit_profiles(sorted((r.l, r.t) for r in sample), p)
 
 
