@@ -72,9 +72,7 @@ def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: list[str
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         current = read_version(spark, target)
-        merged = batch.select(*batch.columns) if current is None else upsert_latest(current, batch, key, version)
-        if current is None:
-            merged = upsert_latest(batch.limit(0), batch, key, version)
+        merged = upsert_latest(batch.limit(0) if current is None else current, batch, key, version)
         publish_version(merged, target, f"v{epoch:08d}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
