@@ -838,10 +838,11 @@ def component_groups(spark: SparkSession, base: str) -> DataFrame:
 # --- sets -----------------------------------------------------------------------------------------------------------
 
 
-@query("union_all", "SELECT source AS id, 'source' AS side FROM edges UNION ALL SELECT target, 'target' FROM edges")
+@query("union_all", "SELECT source AS id, 'source' AS side FROM edges WHERE source IS NOT NULL UNION ALL SELECT target, 'target' FROM edges WHERE target IS NOT NULL")
 def union_all(spark: SparkSession, base: str) -> DataFrame:
     edges = table(spark, base, "edges", ("source", "target"))
-    return edges.select(F.col("source").alias("id"), F.lit("source").alias("side")).unionByName(edges.select(F.col("target").alias("id"), F.lit("target").alias("side")))
+    ends = edges.select(F.col("source").alias("id"), F.lit("source").alias("side")).unionByName(edges.select(F.col("target").alias("id"), F.lit("target").alias("side")))
+    return ends.filter("id IS NOT NULL")  # a NULL end is no reference
 
 
 @query("union_distinct", "SELECT decision_id FROM decisions UNION SELECT decision_id FROM counts")

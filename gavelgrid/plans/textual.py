@@ -226,9 +226,9 @@ def postings_delta(spark: SparkSession, base: str) -> DataFrame:
 # --- references, patterns, tidying ----------------------------------------------------------------------------------
 
 
-@query("canonical_id", f"SELECT DISTINCT target AS id, {sql_canonical('target')} AS canonical FROM edges")
+@query("canonical_id", f"SELECT DISTINCT target AS id, {sql_canonical('target')} AS canonical FROM edges WHERE target IS NOT NULL")
 def canonical_ids(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "edges").select(F.col("target").alias("id"), identity.canonical_id(F.col("target")).alias("canonical")).distinct()
+    return table(spark, base, "edges").select(F.col("target").alias("id"), identity.canonical_id(F.col("target")).alias("canonical")).filter("id IS NOT NULL").distinct()
 
 
 _HEAD = "trim(split_part(trim(decision_id), '#', 1))"
@@ -259,10 +259,10 @@ def own_dockets(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "exact_reference",
-    r"""SELECT DISTINCT source AS id, regexp_matches(trim(source), '^(?:(?:bge[_ ]*)?(?:BGE|ATF|DTF)?[_ ]*[0-9]{1,3}[_ ]+[IVX]+[ab]?[_ ]+[0-9]+|(?:BVGE|ATAF|DTAF)\s+[0-9]{4}/[0-9]+|[0-9]{1,2}[A-Z][_. ][0-9]+/[0-9]{4}|(?:bge|bger|bvger|bstger)_.+)$', 'i') AS bare FROM edges""",
+    r"""SELECT DISTINCT source AS id, regexp_matches(trim(source), '^(?:(?:bge[_ ]*)?(?:BGE|ATF|DTF)?[_ ]*[0-9]{1,3}[_ ]+[IVX]+[ab]?[_ ]+[0-9]+|(?:BVGE|ATAF|DTAF)\s+[0-9]{4}/[0-9]+|[0-9]{1,2}[A-Z][_. ][0-9]+/[0-9]{4}|(?:bge|bger|bvger|bstger)_.+)$', 'i') AS bare FROM edges WHERE source IS NOT NULL""",
 )
 def exact_reference(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "edges").select(F.col("source").alias("id"), identity.exact_reference(F.col("source")).alias("bare")).distinct()
+    return table(spark, base, "edges").select(F.col("source").alias("id"), identity.exact_reference(F.col("source")).alias("bare")).filter("id IS NOT NULL").distinct()
 
 
 def _codes_sql(column: str) -> str:
