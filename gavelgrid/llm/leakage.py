@@ -1,10 +1,12 @@
 """Evaluation texts that leaked into documents.
 
 Method: a distributed positional inverted index. The terms are pairs of neighbouring words with their position. Every
-window of a test text is looked up by its rarest term; the posting lists are intersected after subtracting the term's
-place in the test text, so hits of one copied passage meet on one diagonal. Documents with enough windows on a diagonal
-are compared word by word: runs of exactly matching phrases that lie near each other (proximity) make a passage, the
-passages of a document are chained in the test text's order, and the share of the test text they span decides.
+window of a test text is looked up by its rarest terms; the posting lists are intersected after subtracting the term's
+place in the test text, so hits of one copied passage meet on one diagonal. Documents with enough windows on a diagonal,
+or with enough of all windows on any diagonals (copies in several pieces), are compared word by word: runs of exactly
+matching phrases that lie near each other (proximity) make a passage, the passages of a document are chained in the test
+text's order, and the share of the test text they span decides. Passages too short to count alone count in a chain that
+spans ``min_share`` of the test text.
 
 What is kept of the index are the postings of the terms that test windows are looked up by. The terms of the test texts
 are sent to the documents while there are at most ``BROADCAST_ROWS`` of them, else both sides are shuffled. A frequent
@@ -41,11 +43,15 @@ BROADCAST_ROWS = 500_000  # a table of test terms up to this size is broadcast
 @dataclass(frozen=True)
 class Params:
     window: int = 16  # words of a test text per lookup
+    terms: int = 2  # rarest terms a window is looked up by
     diagonal: int = 32  # width of a diagonal
     min_share: float = 0.5  # of the test text
     phrase: int = 3  # words of the shortest exact phrase
     gap: int = 4  # words that may differ between two phrases of a passage
-    passage: int = 20  # matching words a passage needs; less is a usual phrase
+    passage: int = 20  # matching words a passage, or a chain of pieces, needs; less is a usual phrase
+    piece: int = 16  # matching words of the shortest piece of a chain
+    near_piece: int = 8  # the same where the pieces of a chain follow each other in the document
+    near: int = 100  # words of the document between two such pieces
 
 
 def folded_words(text: Column) -> Column:
@@ -85,7 +91,7 @@ def _bounded(small: DataFrame, rows: int) -> DataFrame:
 
 
 def lookups(texts: DataFrame, documents: DataFrame, p: Params) -> DataFrame:
-    """(item_id, field, win, pos, term, windows): the rarest term of every window of the test texts."""
+    """(item_id, field, win, pos, term, windows, r): the rarest terms of every window of the test texts."""
     places = stored(postings(texts, ["item_id", "field"]))
     vocabulary = _bounded(places.select("term").distinct(), places.count())
     counts = (
@@ -93,12 +99,13 @@ def lookups(texts: DataFrame, documents: DataFrame, p: Params) -> DataFrame:
     )
     rarest = Window.partitionBy("item_id", "field", "win").orderBy("n", "pos")
     known = places.join(counts, "term").withColumn("win", F.floor(F.col("pos") / p.window))
-    chosen = known.withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("item_id", "field", "win", "pos", "term")
-    return chosen.withColumn("windows", F.count(F.lit(1)).over(Window.partitionBy("item_id", "field")))
+    chosen = known.withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= p.terms)
+    windows = F.count(F.when(F.col("r") == 1, 1)).over(Window.partitionBy("item_id", "field"))
+    return chosen.withColumn("windows", windows).select("item_id", "field", "win", "pos", "term", "windows", "r")
 
 
 def candidates(documents: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, item_id, field): documents that hold enough windows of a test text on one diagonal."""
+    """(doc_id, item_id, field): documents that hold enough windows of a test text on one diagonal, or on all together."""
     looked = stored(lookups(texts, documents, p))
     few = looked.count()
     found = stored(postings(documents, ["doc_id"]).join(_bounded(looked.select("term").distinct(), few), "term", "left_semi"))
@@ -106,14 +113,37 @@ def candidates(documents: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     shift = F.col("at") - F.col("pos")
     # a diagonal belongs to two overlapping bands, so near hits always share one
     bands = F.array(F.floor(shift / p.diagonal) * 2, F.floor((shift + p.diagonal // 2) / p.diagonal) * 2 + 1)
-    counted = (
-        hits.select("doc_id", "item_id", "field", "windows", "win", F.explode(bands).alias("band"))
+    enough = F.when(F.col("windows") >= 4, F.lit(2)).otherwise(F.lit(1))
+    banded = (
+        hits.filter("r = 1").select("doc_id", "item_id", "field", "windows", "win", F.explode(bands).alias("band"))
         .distinct()
         .groupBy("doc_id", "item_id", "field", "band")
         .agg(F.count(F.lit(1)).alias("hits"), F.max("windows").alias("windows"))
     )
-    enough = F.when(F.col("windows") >= 4, F.lit(2)).otherwise(F.lit(1))
-    return counted.filter(F.col("hits") >= enough).select("doc_id", "item_id", "field").distinct()
+    # distinct windows on all diagonals, as bits: 32 to a mask
+    masks = hits.groupBy("doc_id", "item_id", "field", F.floor(F.col("win") / 32).alias("block")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(win % 32 AS INT))")).alias("mask"), F.max("windows").alias("windows")
+    )
+    counted = masks.groupBy("doc_id", "item_id", "field").agg(F.sum(F.bit_count("mask")).alias("hits"), F.max("windows").alias("windows"))
+    # a chain spans min_share of the text; half of its windows may have lost their terms to changes and ends of pieces
+    spread = F.greatest(enough, F.ceil(F.col("windows") * (p.min_share / 2)))
+    keys = ["doc_id", "item_id", "field"]
+    return banded.filter(F.col("hits") >= enough).select(*keys).unionByName(counted.filter(F.col("hits") >= spread).select(*keys)).distinct()
+
+
+def _chain(runs: list[list[int]], near: int | None = None) -> tuple[int, int]:
+    """(words spanned, words matched) of the best chain of sorted passages in the order of the test text, its links at
+    most ``near`` words of the document apart."""
+    best: list[tuple[int, int]] = []
+    for k, (a, b, c, _, n) in enumerate(runs):
+        value = (b - a, n)
+        for q in range(k):
+            other = runs[q]
+            overlap = max(0, other[1] - a)
+            if other[0] < a and other[2] < c and overlap < b - a and (near is None or c - other[3] <= near):
+                value = max(value, (best[q][0] + b - a - overlap, best[q][1] + max(0, n - overlap)))
+        best.append(value)
+    return max(best, default=(0, 0))
 
 
 def passages(test: list[str], document: list[str], p: Params) -> tuple[float, float, int]:
@@ -148,16 +178,12 @@ def passages(test: list[str], document: list[str], p: Params) -> tuple[float, fl
             live.append(runs[-1])
     least = min(p.passage, max(m, -(-len(test) // 2)))
     long = sorted(r for r in runs if r[4] >= least)
-    best: list[tuple[int, int]] = []
-    for k, (a, b, c, _, n) in enumerate(long):
-        value = (b - a, n)
-        for q in range(k):
-            other = long[q]
-            overlap = max(0, other[1] - a)
-            if other[0] < a and other[2] < c and overlap < b - a:
-                value = max(value, (best[q][0] + b - a - overlap, best[q][1] + max(0, n - overlap)))
-        best.append(value)
-    spanned, matched = max(best, default=(0, 0))
+    spanned, matched = _chain(long)
+    for floor, near in ((p.piece, None), (p.near_piece, p.near)):
+        pieces = sorted(r for r in runs if r[4] >= min(floor, least))
+        whole = _chain(pieces, near)
+        if whole > (spanned, matched) and whole[0] >= p.min_share * len(test) and whole[1] >= least:
+            (spanned, matched), long = whole, pieces
     return spanned / len(test), matched / len(test), max((r[4] for r in long), default=0)
 
 

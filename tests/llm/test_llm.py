@@ -344,6 +344,25 @@ def test_passages_keep_the_order():
     assert leakage.passages(test, changed, p)[0] > 0.95
 
 
+def test_leaks_in_short_pieces(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    vocabulary = [word() for _ in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(160) for _ in range(4)]
+
+    def pieces(test, size, share):
+        step = round(size / share)
+        return [w for i in range(0, len(test), step) for w in test[i : i + size] + text(60)]
+
+    docs = [(i, pieces(items[i % 4], size, 0.65)) for i, size in enumerate((8, 12, 15, 19))]
+    docs += [(10, pieces(items[0], 12, 0.25)), (11, text(2000)), (12, [w for i in (120, 80, 40, 0) for w in items[1][i : i + 19] + text(60)])]
+    documents = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(ws), None) for i, ws in enumerate(items)], "item_id long, question string, reference string")
+    found = leakage.leaks(documents, tests).filter("spanned >= 0.5").select("doc_id", "item_id")
+    assert rows(found) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 
