@@ -264,3 +264,32 @@ def test_sql_agrees(spark, name):
     cursor = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(tuple(str(v) for v in r) for r in got.select(*columns).collect()) == sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
+
+
+def _whole_sql(name, cut, whole):
+    """The rows of the query's SQL over sf0.001 with ``cut`` replaced; the registered SQL keeps it."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("chunks", "counts", "decisions", "documents", "embeddings", "passage_vectors"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    text = entry.oracle_sql()[name]
+    assert cut in text
+    cursor = con.execute(text.replace(cut, whole))
+    return [c[0] for c in cursor.description], sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize(
+    "name, cut, whole",
+    [
+        ("knn_filtered", " AND r.vec_id BETWEEN 50 AND 400", ""),
+    ],
+)
+def test_whole_job_agrees(spark, name, cut, whole):
+    import __spark_entry__ as entry
+
+    columns, expected = _whole_sql(name, cut, whole)
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001").select(*columns)
+    assert expected and sorted(tuple(str(v) for v in r) for r in got.collect()) == expected
