@@ -355,11 +355,11 @@ SELECT query, document, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 
 @query("hybrid_search", _HYBRID_SQL)
 def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
-    """The flagship: headnotes as queries; BM25 over the passages and nearest vectors, fused by judgment, with the
+    """The flagship: every twentieth passage as a query; BM25 over the passages and nearest vectors, fused by judgment, with the
     authority of the citation counts, ten judgments per query."""
     chunks = table(spark, base, "chunks")
     passages = chunks.groupBy("id").agg(F.max("decision_id").alias("document"), F.max("text").alias("text"))
-    asked = chunks.filter("section = 'regeste' AND id % 20 = 0").groupBy(F.col("id").alias("query")).agg(F.max("text").alias("text"))
+    asked = chunks.filter("id % 20 = 0").groupBy(F.col("id").alias("query")).agg(F.max("text").alias("text"))
 
     postings = keyword.build_index(passages, "id", "text")
     total, mean_length = keyword.corpus_size(postings, "id")
