@@ -62,7 +62,7 @@ def chunk_documents(spark: SparkSession, base: str) -> DataFrame:
              JOIN (SELECT decision_id, max(full_text) AS full_text FROM decisions GROUP BY 1) d USING (decision_id) WHERE c.char_start IS NOT NULL AND d.full_text IS NOT NULL)""",
 )
 def span_context(spark: SparkSession, base: str) -> DataFrame:
-    chunks = table(spark, base, "chunks").filter("section = 'dispositiv' OR chunk_index = 0").select("id", "decision_id", "char_start", "char_end").distinct()
+    chunks = table(spark, base, "chunks").select("id", "decision_id", "char_start", "char_end").distinct()
     texts = table(spark, base, "decisions").groupBy("decision_id").agg(F.max("full_text").alias("full_text"))
     joined = chunks.filter("char_start IS NOT NULL").join(texts, "decision_id").filter("full_text IS NOT NULL")
     return joined.select("id", tx.context(F.col("full_text"), F.col("char_start"), F.col("char_end")).alias("context"))
@@ -110,7 +110,7 @@ def paragraph_search(spark: SparkSession, base: str) -> DataFrame:
 
 @query("tokenize_counts", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents WHERE kind = 'headnote') WHERE NOT list_contains({sorted(set(tx.STOPWORDS))!r}, term) GROUP BY 1, 2")
 def tokenize_counts(spark: SparkSession, base: str) -> DataFrame:
-    return keyword.term_counts(table(spark, base, "documents").filter("kind = 'headnote'"), "doc_id", "text", tx.content_words)
+    return keyword.term_counts(table(spark, base, "documents", ("doc_id", "text")), "doc_id", "text", tx.content_words)
 
 
 _BM25 = f"""

@@ -286,6 +286,8 @@ def _whole_sql(name, cut, whole):
     [
         ("knn_filtered", " AND r.vec_id BETWEEN 50 AND 400", ""),
         ("hybrid_search", "section = 'regeste' AND id % 20 = 0", "id % 20 = 0"),
+        ("tokenize_counts", " WHERE kind = 'headnote'", ""),
+        ("span_context", " WHERE section = 'dispositiv' OR chunk_index = 0", ""),
     ],
 )
 def test_whole_job_agrees(spark, name, cut, whole):
