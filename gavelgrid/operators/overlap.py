@@ -33,14 +33,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(both / F.size(F.array_union(a, b)), both / F.least(F.size(a), F.size(b)))
 
 
+def _word_sets(rows: DataFrame, group: list[str], key: str, text: str, least: int) -> DataFrame:
+    return rows.select(*group, key, F.array_sort(F.array_distinct(words(F.col(text), 3))).alias("w")).filter(F.size("w") >= least)
+
+
+def word_set_classes(rows: DataFrame, group: list[str], key: str, text: str, least: int = 1) -> DataFrame:
+    """(group, key, class): the class of every row that ``similar_pairs`` compares, named by its smallest key.
+
+    Rows of one class have similarity 1; other links of a row are those of its class. NULL is no group.
+    """
+    sets = _word_sets(rows, group, key, text, least).dropna(subset=[*group, key])
+    classes = sets.groupBy(*group, "w").agg(F.min(key).alias("class"))
+    return sets.join(classes, [*group, "w"]).select(*group, key, "class").distinct()
+
+
 def similar_pairs(rows: DataFrame, group: list[str], key: str, text: str, threshold: float, least: int = 1) -> DataFrame:
     """(group, a, b, similarity) of pairs in a group that reach ``threshold``, a < b.
 
     Containment is never below Jaccard, so a pair shares at least ``threshold`` of the smaller set's words, and one of
     its ``(1 - threshold) * n + 1`` rarest words must be in the larger set. Only those are joined. Equal word sets are
-    one class while pairs are formed, so copies don't multiply the pairs; a pair names the smallest keys of two classes.
+    one class while pairs are formed, so copies don't multiply the pairs; a pair names the smallest keys of two classes,
+    ``word_set_classes`` the members of each. NULL is no group: its rows are compared with none.
     """
-    sets = rows.select(*group, key, F.array_sort(F.array_distinct(words(F.col(text), 3))).alias("w")).filter(F.size("w") >= least)
+    sets = _word_sets(rows, group, key, text, least)
     classes = sets.groupBy(*group, "w").agg(F.min(key).alias("k")).withColumn("n", F.size("w"))
     every = classes.select(*group, "k", "n", "w", F.explode("w").alias("word"))
     frequency = every.groupBy("word").agg(F.count(F.lit(1)).alias("f"))

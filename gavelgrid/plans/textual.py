@@ -461,6 +461,18 @@ def similar_pairs(spark: SparkSession, base: str) -> DataFrame:
     return overlap.similar_pairs(rows, ["area"], "item_id", "reference", 0.6, least=3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("repeat_classes")
+def repeat_classes(spark: SparkSession, base: str) -> DataFrame:
+    """The members of the classes that repeat_pairs names."""
+    return overlap.word_set_classes(table(spark, base, "eval_items", ("suite", "item_id", "question")), ["suite"], "item_id", "question")
+
+
+@query("similar_classes")
+def similar_classes(spark: SparkSession, base: str) -> DataFrame:
+    """The members of the classes that similar_pairs names."""
+    return overlap.word_set_classes(table(spark, base, "eval_items", ("area", "item_id", "reference")), ["area"], "item_id", "reference", least=3)
+
+
 @query("repeat_filter")
 def repeat_filter(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "eval_items", ("suite", "item_id", "published_at", "question"))

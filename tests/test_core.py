@@ -183,6 +183,18 @@ def test_overlap(spark):
     assert rows(overlap.similar_pairs(spark.createDataFrame([("c", 1, "eins zwei drei vier"), ("c", 2, "eins zwei drei"), ("c", 3, "ganz anderes ding")], "g string, k int, t string"), ["g"], "k", "t", 0.8).select("a", "b")) == [(1, 2)]
 
 
+def test_word_set_classes_lose_no_link(spark):
+    texts = ["eins zwei drei vier", "vier, drei zwei eins!", "eins eins zwei drei vier", "eins zwei drei", "drei zwei eins", "ganz anderes ding", None]
+    data = [(g, 10 * i + k, t) for i, g in enumerate(("c", "d", None)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "g string, k int, t string")
+    of = {r.k: r["class"] for r in overlap.word_set_classes(df, ["g"], "k", "t").collect()}
+    pairs = {(r.a, r.b) for r in overlap.similar_pairs(df, ["g"], "k", "t", 0.8).collect()}
+    linked = {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)}
+    sets = {k: (g, set(t.replace(",", "").replace("!", "").split())) for g, k, t in data if g and t}
+    close = lambda a, b: a[0] == b[0] and len(a[1] & b[1]) / min(len(a[1]), len(b[1])) >= 0.8
+    assert linked == {(a, b) for a in sets for b in sets if a < b and close(sets[a], sets[b])} and set(of) == set(sets)
+
+
 def test_vectors(spark):
     data = [(i, [float((i * j) % 7 - 3) for j in range(8)]) for i in range(60)] + [(99, None)]
     df = spark.createDataFrame(data, "id long, v array<float>")
