@@ -22,6 +22,12 @@ FIELD_WORDS = {
     "rm": ("locaziun", "sentenzia", "recurs", "dretgira", "contract"),
     "en": ("lease", "judgment", "appeal", "contract", "court"),
 }
+# Letters and abbreviations that decide where no words do, in this order.
+CLUES = (
+    ("de", r"(?U)[äöüß]|\b(?:OR|StGB|ZGB|ZPO|SchKG)\b"),
+    ("it", r"(?U)[ìò]|\b(?:cpv|Cost)\b"),
+    ("fr", r"(?U)[éèçœâêëîïôûÿ]|\b(?:CO|CP|Cst)\b"),
+)
 LANGS = tuple(FUNCTION_WORDS)
 
 
@@ -32,17 +38,20 @@ def _counts(words: Column, lists: dict[str, tuple[str, ...]]) -> Column:
 
 def detect(text: Column, default: str = "de", least: int = 2) -> Column:
     """Language of a text: most function words, with ``least`` of them and a strict lead; else most words of the field;
-    else a weak lead; else ``default``. Quoted lines and words in capitals (acts) don't count."""
-    plain = F.regexp_replace(text, r"(?m)^>[^\n]*$", " ")
-    plain = F.regexp_replace(plain, r"\b[A-Z]{2,}\b", " ")
+    else a weak lead; else letters and abbreviations; else ``default``. Quoted lines don't count, and words in capitals
+    (acts) only as abbreviations."""
+    unquoted = F.regexp_replace(text, r"(?m)^>[^\n]*$", " ")
+    plain = F.regexp_replace(unquoted, r"\b[A-Z]{2,}\b", " ")
     leads = lambda r: r[0]["n"] > r[1]["n"]
 
+    clue = F.coalesce(*[F.when(unquoted.rlike(signs), F.lit(lang)) for lang, signs in CLUES], F.lit(default))
+
     def choose(strong: Column, field: Column) -> Column:
         return (
             F.when((strong[0]["n"] >= least) & leads(strong), strong[0]["lang"])
             .when((field[0]["n"] > 0) & leads(field), field[0]["lang"])
             .when(leads(strong), strong[0]["lang"])
-            .otherwise(F.lit(default))
+            .otherwise(clue)
         )
 
     def ranked(words: Column) -> Column:

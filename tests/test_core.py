@@ -183,6 +183,15 @@ def test_overlap(spark):
     assert rows(overlap.similar_pairs(spark.createDataFrame([("c", 1, "eins zwei drei vier"), ("c", 2, "eins zwei drei"), ("c", 3, "ganz anderes ding")], "g string, k int, t string"), ["g"], "k", "t", 0.8).select("a", "b")) == [(1, 2)]
 
 
+def test_language_clues(spark):
+    texts = {
+        "Ceux de cette religion devraient être fusillés": "fr", "Art. 2 cpv 3": "it", "Art. 41 OR": "de", "Art. 41 CO": "fr", "più però": "it", "> être\nxyz": "de", "Ärger été": "fr",
+        "Größe été": "de", "ORT 41": "de", "éCO": "fr", "xyz": "de", "die Frist und das être": "de",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.l for r in df.select("t", language.detect(F.col("t")).alias("l")).collect()} == texts
+
+
 def test_word_set_classes_lose_no_link(spark):
     texts = ["eins zwei drei vier", "vier, drei zwei eins!", "eins eins zwei drei vier", "eins zwei drei", "drei zwei eins", "ganz anderes ding", None]
     data = [(g, 10 * i + k, t) for i, g in enumerate(("c", "d", None)) for k, t in enumerate(texts)]
