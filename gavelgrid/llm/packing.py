@@ -1,10 +1,11 @@
 """Filling containers of a fixed number of tokens with documents.
 
 Method: optimal length buckets. Sizes are counted with a public tokenizer; the global histogram of sizes, at most
-``capacity`` numbers whatever the data, goes to a dynamic program that chooses the bucket boundaries with the least
-padding, when ``capacity // boundary`` items of a bucket make a batch. Token-budget batches then form inside each
-bucket, from the longest sizes down; what a batch leaves free is topped up with the longest items of shorter buckets
-that fit, which plain buckets would leave as padding.
+``capacity`` numbers whatever the data, goes to a dynamic program that chooses the bucket boundaries whose batches
+leave the least padding. The boundary of a bucket sets its batches: ``capacity // boundary`` items, so that any of its
+items fit the budget, the longest first. From the longest bucket down, what a batch leaves free is topped up with the
+longest items of *shorter* buckets that fit; what is left of a bucket below a whole batch is its last batch. So the
+boundaries decide which items share a container, and ``Plan.padding`` states what the batches alone would leave.
 
 Only sizes matter, so all this is done on the histogram: a *pattern* (the sizes in a container) is repeated while its
 sizes last, and every pattern uses up at least one size, so there are few patterns. Documents find their container by
@@ -20,11 +21,13 @@ its id, size and the histogram alone.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +55,13 @@ def encoder(vocabulary: str):
 
 
 def token_counts(table: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
+    """(doc_id, n_tokens) of every row. The vocabulary file is shipped to the executors with the job."""
+    table.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     rows = require(table, **{key: "bigint", text: "string"}).select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = encoder(vocabulary)
+        tokenizer = encoder(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(tokenizer.encode_ordinary(t)) if t else 0 for t in batch["t"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": np.array(sizes, dtype=np.int64)})
@@ -107,6 +112,7 @@ class Plan:
     each: list[int] = field(default_factory=list)  # items of this size per container
     slot: list[int] = field(default_factory=list)
     containers: int = 0
+    padding: int = 0  # tokens the batches of all buckets leave free before they are topped up
     bounds: list[int] = field(default_factory=list)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
@@ -114,31 +120,44 @@ class Plan:
         return tuple(np.array(x, dtype=np.int64)[order] for x in (self.size, self.first, self.base, self.each, self.slot))
 
 
-def pack_histogram(histogram: np.ndarray, buckets: int = BUCKETS) -> Plan:
+def batch_padding(histogram: np.ndarray, bounds: list[int]) -> int:
+    """Tokens left free when every bucket makes batches of ``capacity // boundary`` items of its own."""
+    capacity = len(histogram) - 1
+    left = 0
+    for low, bound in zip([0, *bounds[:-1]], bounds):
+        counts, sizes = histogram[low + 1 : bound + 1], np.arange(low + 1, bound + 1)
+        left += -(-int(counts.sum()) // (capacity // bound)) * capacity - int((counts * sizes).sum())
+    return left
+
+
+def pack_histogram(histogram: np.ndarray, buckets: int = BUCKETS, bounds: list[int] | None = None) -> Plan:
+    """The plan for a histogram of sizes; ``bounds`` replaces the boundaries of the dynamic program."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    plan = Plan(bounds=bucket_boundaries(left, buckets))
+    plan = Plan(bounds=bucket_boundaries(left, buckets) if bounds is None else bounds)
+    plan.padding = batch_padding(left, plan.bounds)
     used = np.zeros_like(left)
-    lows = dict(zip(plan.bounds, [0, *plan.bounds[:-1]]))
-    for bound in reversed(plan.bounds):
-        while True:
-            inside = np.flatnonzero(left[lows[bound] + 1 : bound + 1])
-            if not len(inside):
-                break
+    for low, bound in reversed(list(zip([0, *plan.bounds[:-1]], plan.bounds))):
+        batch = capacity // bound
+        while left[low + 1 : bound + 1].any():
             pattern: dict[int, int] = {}
-            room = capacity
-            for low in (lows[bound], 0):  # the batch of the bucket, then the top-up from all shorter sizes
-                while room > 0:
-                    top = min(room, bound)
-                    fits = np.flatnonzero(left[low + 1 : top + 1])
-                    fits = [s for s in (fits[::-1] + low + 1) if left[s] > pattern.get(int(s), 0)][:1] if len(fits) else []
-                    if not fits:
-                        break
-                    s = int(fits[0])
-                    take = int(min(left[s] - pattern.get(s, 0), room // s))
-                    pattern[s] = pattern.get(s, 0) + take
-                    room -= take * s
+            room, wanted = capacity, batch
+            for size in (np.flatnonzero(left[low + 1 : bound + 1]) + low + 1)[::-1]:
+                if wanted == 0:
+                    break
+                pattern[int(size)] = take = int(min(left[size], wanted))
+                room -= take * int(size)
+                wanted -= take
+            top = min(room, low)
+            while top > 0:  # shorter buckets only
+                fits = np.flatnonzero(left[1 : top + 1])
+                if not len(fits):
+                    break
+                size = int(fits[-1]) + 1
+                pattern[size] = take = int(min(left[size], room // size))
+                room -= take * size
+                top = min(room, size - 1)
             times = int(min(left[s] // q for s, q in pattern.items()))
             slot = 0
             for s, q in pattern.items():

@@ -13,6 +13,9 @@ priorities lie below a threshold. The counts are as many numbers as the target t
 the data; only they meet on the driver. Records are taken by exact distributed ranks (``operators.hashrank``), so no
 category, however large, is held or sorted by one task.
 
+Whether a target can be met is read off the drawn ranks: a category that got fewer seats than it needs fails if its
+ranks end before the need.
+
 Defined cases: one row per canonical id, the one with the latest ``indexed_at`` (ties: the largest row); only rows with
 a full text; NULL, empty and unknown values belong to no category; an empty pool gives an empty sample and a report in
 which only needs of zero are met; repeated target rows count once; floors that add up to more than the sample are cut
@@ -21,6 +24,9 @@ by priority, too; categories without a target get records only when those with o
 
 from __future__ import annotations
 
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +35,7 @@ from gavelgrid.functions.identity import canonical_id
 from gavelgrid.operators.hashrank import hash_rank
 from gavelgrid.sources.tables import require
 
+MOST_TARGETS = 10_000  # rows of the target table; more are an error
 DIMENSIONS = ("language", "canton", "court", "period")
 
 # Notations of the languages.
@@ -132,39 +139,48 @@ def sampling_pool(decisions: DataFrame) -> DataFrame:
 def divisor_seats(targets: np.ndarray, counts: np.ndarray, n: int, floors: np.ndarray | None = None) -> np.ndarray:
     """How many of the ``n`` records that come first each category holds: floors, then priorities (rank - 0.5) / target.
 
-    Ties go to the earlier category.
+    Ties go to the earlier category. The threshold is found by halving; the last seats are given one by one, by
+    priorities compared as fractions.
     """
+    targets = np.asarray(targets, dtype=float)
     counts = np.asarray(counts, dtype=np.int64)
     floors = np.minimum(np.zeros_like(counts) if floors is None else floors, counts)
     n = int(min(n, counts.sum()))
     if floors.sum() >= n and floors.any():
         counts, floors = floors, np.zeros_like(counts)
     seats = floors.copy()
-    for weight in (np.asarray(targets, dtype=float), np.where(np.asarray(targets) > 0, 0, counts).astype(float)):
-        live = weight > 0  # categories without a target come last
-        left = min(n - int(seats[~live].sum()), int(counts[live].sum()))
-        if left <= seats[live].sum() or not live.any():
+    for weight in (targets, np.where(targets > 0, 0, counts).astype(float)):
+        live = np.flatnonzero(weight > 0)  # categories without a target come last
+        left = min(n - int(np.delete(seats, live).sum()), int(counts[live].sum()))
+        if left <= seats[live].sum() or not len(live):
             continue
         w, most, least = weight[live], counts[live], seats[live]
-        below = lambda t: np.maximum(np.minimum(np.floor(t * w + 0.5), most), least)
+        below = lambda t: np.maximum(np.minimum(np.floor(t * w + 0.5), most), least).astype(np.int64)
         low, high = 0.0, 1.0
         while below(high).sum() < left:
             high *= 2
-        for _ in range(200):
+        for _ in range(100):
             middle = (low + high) / 2
             low, high = (middle, high) if below(middle).sum() < left else (low, middle)
-        got = below(high).astype(np.int64)
-        at_edge = got - below(low).astype(np.int64)
-        for i in np.flatnonzero(at_edge)[::-1]:
-            got[i] -= max(0, int(min(at_edge[i], got.sum() - left)))
+        got = np.maximum(np.minimum(np.floor(low * w * (1 - 1e-9) + 0.5) - 1, most), least).astype(np.int64)
+        priority = lambda i: (Fraction(2 * int(got[i]) + 1) / Fraction(w[i]), i)
+        heap = [priority(i) for i in range(len(live)) if got[i] < most[i]]
+        heapify(heap)
+        for _ in range(left - int(got.sum())):
+            i = heappop(heap)[1]
+            got[i] += 1
+            if got[i] < most[i]:
+                heappush(heap, priority(i))
         seats[live] = got
     return seats
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, str, int, int]]:
-    """The target table, a parameter of at most a few hundred rows, sorted."""
+    """The target table, a parameter of at most ``MOST_TARGETS`` rows, sorted."""
     rows = require(targets, dimension="string", category="string", target_pct="int", min_rows="int")
-    picked = rows.filter("dimension IS NOT NULL AND category IS NOT NULL").distinct().limit(10_000).collect()
+    picked = rows.filter("dimension IS NOT NULL AND category IS NOT NULL").distinct().limit(MOST_TARGETS + 1).collect()
+    if len(picked) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     best = {(r.dimension, r.category): (r.target_pct or 0, r.min_rows or 0) for r in sorted(picked, key=lambda r: tuple(map(str, r)))}
     return [(d, c, pct, least) for (d, c), (pct, least) in sorted(best.items())]
 
@@ -191,17 +207,22 @@ class ProportionalSample:
                 (d, c, float(pct), least, max(least, -(-pct * size // 100)), int(n), int(s)) for (d, c, pct, least), n, s in zip(own, counts, seats)
             ]
         table = spark.createDataFrame(plan, "dimension string, category string, target double, least int, needed bigint, pool_rows bigint, seats bigint")
-        drawn = hash_rank(long.join(F.broadcast(table), ["dimension", "category"]), ["dimension", "category"], "decision_id", seed, quota="seats")
+        # ranks up to the seats make the sample; those up to the need tell whether a category that got less runs out
+        table = table.withColumn("reach", F.greatest("seats", "needed"))
+        ranked = hash_rank(long.join(F.broadcast(table), ["dimension", "category"]), ["dimension", "category"], "decision_id", seed, quota="reach")
+        seated = F.col("hash_rank") <= F.col("seats")
         floor = F.col("hash_rank") <= F.col("least")
         priority = F.when(F.col("target") > 0, (F.col("hash_rank") - 0.5) / F.col("target"))
-        self.rows = drawn.select("dimension", "category", "decision_id", F.col("hash_rank").alias("rank"), floor.alias("floor"), priority.alias("priority"))
-        got = self.rows.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("drawn"))
+        columns = ("dimension", "category", "decision_id", F.col("hash_rank").alias("rank"), floor.alias("floor"), priority.alias("priority"))
+        self.rows = ranked.filter(seated).select(*columns)
+        got = ranked.groupBy("dimension", "category").agg(F.count_if(seated).alias("drawn"), F.max("hash_rank").alias("reached"))
+        met = (F.col("drawn") >= F.col("needed")) | (F.coalesce("reached", F.lit(0)) >= F.col("needed"))
         self.report = (
             table.join(got, ["dimension", "category"], "left")
             .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
             .select(
                 "dimension", "category", F.col("target").cast("int").alias("target_pct"), F.col("least").alias("min_rows"), "needed", "pool_rows", "drawn",
-                (F.col("pool_rows") >= F.col("needed")).alias("can_be_met"),
+                met.alias("can_be_met"),
                 F.round(F.col("drawn") * 100.0 / max(1, size), 3).alias("sample_pct"),
             )
         )

@@ -165,6 +165,8 @@ def test_proportional_sample(spark):
     for key, share in {("canton", "CH"): 0.7, ("court", "bge"): 0.6, ("period", "2020+"): 0.5, ("language", "de"): 399 / 400 * 50 / 90}.items():
         assert abs(report[key].drawn / 400 - share) <= 1 / 400
     assert sum(r.floor for r in got if r.category == "fr") == 5
+    unmet = drawn.report.filter("NOT can_be_met")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in unmet  # the ranks decide, not a count of the pool
     again = proportions.ProportionalSample(proportions.sampling_pool(_pool(spark).repartition(5)), targets)
     assert sorted(map(tuple, again.rows.collect())) == sorted(map(tuple, got))
     empty = proportions.ProportionalSample(pool.limit(0), targets)
@@ -277,6 +279,19 @@ def test_packing_plan_is_near_the_optimum():
     assert packing.bucket_boundaries(np.array([0, 0, 5, 0, 5, 0]), 2) == [2, 4]
 
 
+def test_packing_buckets_decide_the_containers():
+    rng = np.random.default_rng(3)
+    histogram = np.concatenate([[0], rng.integers(0, 40, 60)])
+    best = packing.pack_histogram(histogram, 4)
+    assert best.padding == packing.batch_padding(histogram, best.bounds)
+    for _ in range(200):  # no other boundaries leave less
+        bounds = sorted({*map(int, rng.choice(np.arange(1, 60), 3, replace=False)), 60})
+        assert packing.batch_padding(histogram, bounds) >= best.padding
+    one, many = packing.pack_histogram(histogram, bounds=[60]), packing.pack_histogram(histogram, bounds=[20, 40, 60])
+    assert one.containers == histogram.sum() and one.containers > many.containers > 0  # one bucket: one item a container
+    assert many.arrays()[2].tolist() != best.arrays()[2].tolist()
+
+
 def _first_fit(sizes):
     """Containers that first-fit-decreasing needs."""
     free: list[int] = []
