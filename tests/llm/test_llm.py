@@ -378,6 +378,20 @@ def test_leaks_in_short_pieces(spark):
     assert rows(found) == [(0, 0), (1, 1), (2, 2), (3, 3)]
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    """One copy of ``passage`` words is found wherever it lies in a test text of any length, and in every block of test texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(60)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(n) for n in (40, 41, 300, 1000)]
+    docs = [(k, at, items[k][at : at + 20]) for k in range(4) for at in rng.sample(range(len(items[k]) - 20), 12)]
+    documents = spark.createDataFrame([(i, " ".join(text(30) + part + text(30))) for i, (_, _, part) in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(ws), None) for i, ws in enumerate(items)], "item_id long, question string, reference string")
+    for p in (leakage.Params(), leakage.Params(block=500)):
+        found = {(r.doc_id, r.item_id) for r in leakage.leaks(documents, tests, p).filter("longest >= 20").collect()}
+        assert {(i, k) for i, (k, _, _) in enumerate(docs)} <= found
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 
