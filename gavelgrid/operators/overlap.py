@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,15 +55,17 @@ def similar_pairs(rows: DataFrame, group: list[str], key: str, text: str, thresh
     """
     sets = _word_sets(rows, group, key, text, least)
     classes = sets.groupBy(*group, "w").agg(F.min(key).alias("k")).withColumn("n", F.size("w"))
-    every = classes.select(*group, "k", "n", "w", F.explode("w").alias("word"))
+    every = classes.select(*group, "k", "n", F.explode("w").alias("word"))
     frequency = every.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
     rarest = Window.partitionBy(*group, "k").orderBy("f", "word")
     first = F.floor((1 - threshold) * F.col("n") + 1e-9) + 1
     probes = every.join(frequency, "word").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= first)
-    small = probes.select(*group, "word", F.col("k").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"))
-    large = every.select(*group, "word", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"))
-    meet = small.join(large, [*group, "word"]).filter("na < nb OR (na = nb AND a < b)")
-    scored = meet.dropDuplicates([*group, "a", "b"]).withColumn("similarity", similarity(F.col("wa"), F.col("wb")))
+    small = probes.select(*group, "word", F.col("k").alias("a"), F.col("n").alias("na"))
+    large = every.select(*group, "word", F.col("k").alias("b"), F.col("n").alias("nb"))
+    meet = small.join(large, [*group, "word"]).filter("na < nb OR (na = nb AND a < b)").select(*group, "a", "b").distinct()
+    # the word sets follow only where two keys met
+    own = lambda name, words_: classes.select(*group, F.col("k").alias(name), F.col("w").alias(words_))
+    scored = meet.join(own("a", "wa"), [*group, "a"]).join(own("b", "wb"), [*group, "b"]).withColumn("similarity", similarity(F.col("wa"), F.col("wb")))
     return scored.filter(F.col("similarity") >= threshold).select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
@@ -93,85 +93,91 @@ def accepted_only(rows: DataFrame, group: str, order: list[str], key: str, text:
     return typed.groupBy(group).applyInPandas(run, schema)
 
 
-_FOLDS = str.maketrans({"’": "'", "‘": "'", "`": "'", "«": '"', "»": '"', "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‑": "-", " ": " "})
-
-
-def fold_with_map(text: str) -> tuple[str, list[int]]:
-    """Lower case, one kind of quotes, dashes and blanks, no hyphens at line ends; with the source place of each sign."""
-    out: list[str] = []
-    places: list[int] = []
-    i = 0
-    while i < len(text):
-        broken = re.match(r"-[ \t]*\n[ \t]*(?=[a-zà-ÿ])", text[i : i + 20])
-        if broken and i and text[i - 1].isalpha():
-            i += broken.end()
-            continue
-        sign = text[i].translate(_FOLDS).lower()[:1]
-        if sign.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                places.append(i)
-        else:
-            out.append(sign)
-            places.append(i)
-        i += 1
-    return "".join(out), places
-
-
-def locate_quote(text: str, quote: str, least: int = 8, gap: int = 3000) -> tuple[int, int] | None:
-    """Span of a quotation in a text: parts between ellipses in order; else head and tail; else a verbatim beginning."""
-    folded, places = fold_with_map(text)
-    parts = [p for p in (fold_with_map(p)[0].strip(" .\"'") for p in re.split(r"\[?(?:\.\.\.|…)\]?", quote)) if len(p) >= least]
-    if not parts or not places:
-        return None
-    span = lambda a, b: (places[a], places[min(b, len(places)) - 1] + 1)
-    start = folded.find(parts[0])
-    while start >= 0:
-        at, ok = start + len(parts[0]), True
-        for part in parts[1:]:
-            hit = folded.find(part, at, at + gap + len(part))
-            if hit < 0:
-                ok = False
-                break
-            at = hit + len(part)
-        if ok:
-            return span(start, at)
-        start = folded.find(parts[0], start + 1)
-    whole = " ".join(parts)
-    if len(whole) >= 80:
-        head, tail = folded.find(whole[:40]), -1
-        if head >= 0:
-            tail = folded.find(whole[-40:], head + 40, head + int(1.5 * len(whole)))
-        if tail >= 0:
-            return span(head, tail + 40)
-    most = int(0.6 * len(whole))
-    if most >= least and (head := folded.find(whole[:most])) >= 0:
-        end = most
-        while end < len(whole) and head + end < len(folded) and folded[head + end] == whole[end]:
-            end += 1
-        return span(head, head + end)
-    return None
-
-
-def trimmed_quote(text: str, quote: str, most: int = 39, least: int = 40) -> tuple[int, int] | None:
+_QUOTES = "\"'`«»‹›“”„’‘"
+_DASHES = "-‐‑–—"
+# a hyphen at a line end, inside a word
+_SPLIT_WORD = r"(?:[-‐‑][ \t]*\n[ \t]*)?"
+
+
+def quote_pattern(quote: Column) -> Column:
+    """A pattern that finds a quotation whatever its case, kind of quotes and dashes, blanks and hyphens at line ends."""
+    plain = F.regexp_replace(F.trim(quote), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    marked = F.regexp_replace(plain, r"(?<=\p{L})(?=\p{L})", "\u0001")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\s+", "\u0002"), f"[{_DASHES}]", "\u0003")
+    marked = F.regexp_replace(marked, f"[{_QUOTES}]", "\u0004")
+    for sign, pattern in (("\u0001", _SPLIT_WORD), ("\u0002", r"\s+"), ("\u0003", f"[{_DASHES}]"), ("\u0004", f"[{_QUOTES}]")):
+        marked = F.replace(marked, F.lit(sign), F.lit(pattern))
+    return F.concat(F.lit("(?iu)"), marked)
+
+
+def _between(most: Column) -> Column:
+    return F.concat(F.lit(r"[\s\S]{0,"), F.greatest(most, F.lit(0)).cast("int").cast("string"), F.lit("}?"))
+
+
+def _in_order(text: Column, parts: Column, gap: int) -> Column:
+    """The text from the first part to the last, each found within ``gap`` characters of the one before."""
+    return F.regexp_substr(text, F.array_join(F.transform(parts, quote_pattern), r"[\s\S]{0,%d}?" % gap))
+
+
+def _head_and_tail(text: Column, quote: Column, size: int) -> Column:
+    """The text from the first to the last ``size`` characters of a quotation, at most half as long again as it is."""
+    length = F.length(quote)
+    pattern = F.concat(
+        quote_pattern(F.left(quote, F.lit(size))), _between(length * 1.5 - 2 * size), quote_pattern(F.right(quote, F.lit(size)))
+    )
+    return F.when(length >= 2 * size, F.regexp_substr(text, pattern))
+
+
+def _verbatim_beginning(text: Column, quote: Column, share: float, least: int) -> Column:
+    """The longest beginning of a quotation in whole words, if ``share`` of its words are found together."""
+
+    def of_words(words_: Column) -> Column:
+        first = F.ceil(F.size(words_) * share).cast("int")
+        beginning = lambda n: F.regexp_substr(text, quote_pattern(F.array_join(F.slice(words_, F.lit(1), n), " ")))
+
+        def extended(found: Column) -> Column:
+            behind = F.substring(text, F.instr(text, found) + F.length(found), F.length(quote) * 2)
+            same = F.zip_with(F.slice(words_, first + 1, F.size(words_)), F.split(F.trim(behind), r"\s+"), lambda a, b: F.lower(a).eqNullSafe(F.lower(b)))
+            more = F.array_position(F.array_append(same, F.lit(False)), False).cast("int") - 1
+            return beginning(F.least(first + more, F.size(words_)))
+
+        return F.when(F.length(F.array_join(F.slice(words_, F.lit(1), first), " ")) >= least, bind(beginning(first), lambda m: F.when(m.isNotNull(), extended(m))))
+
+    return bind(F.split(quote, r"\s+"), of_words)
+
+
+def locate_quote(text: Column, quote: Column, least: int = 8, gap: int = 3000) -> Column:
+    """struct<start, end> of a quotation in a text, NULL if it isn't there: its parts between ellipses in order; else its
+    head and tail; else a verbatim beginning of 60 % or more. Parts shorter than ``least`` characters are skipped."""
+    edges = r"^[\s.%s]+|[\s.%s]+$" % (_QUOTES, _QUOTES)
+    pieces = F.transform(F.split(quote, r"\[?(?:\.\.\.|…)\]?"), lambda p: F.regexp_replace(p, edges, ""))
+
+    def of_parts(parts: Column) -> Column:
+        whole = F.array_join(parts, " ")
+        found = F.coalesce(_in_order(text, parts, gap), _head_and_tail(text, whole, 40), _verbatim_beginning(text, whole, 0.6, least))
+        start = lambda m: F.instr(text, m) - 1
+        span = lambda m: F.when(m.isNotNull(), F.struct(start(m).alias("start"), (start(m) + F.length(m)).alias("end")))
+        return F.when(F.size(parts) > 0, bind(found, span))
+
+    return bind(F.filter(pieces, lambda p: F.length(p) >= least), of_parts)
+
+
+def trimmed_quote(text: Column, quote: Column, most: int = 39, least: int = 40) -> Column:
     """As ``locate_quote``, with up to ``most`` leading words dropped while ``least`` characters remain."""
-    words_ = quote.split()
-    for n in range(min(most, len(words_)) + 1):
-        rest = " ".join(words_[n:])
-        if n and len(rest) < least:
-            break
-        if found := locate_quote(text, rest):
-            return found
-    return None
+    none = F.lit(None).cast("struct<start:int,end:int>")
 
+    def of_words(words_: Column) -> Column:
+        rest = lambda n: F.array_join(F.slice(words_, n + 1, F.size(words_)), " ")
+        later = lambda n: F.when(F.length(rest(n)) >= least, locate_quote(text, rest(n)))
+        drops = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.size(words_) - 1)))
+        return F.coalesce(locate_quote(text, quote), F.aggregate(drops, none, lambda hit, n: F.when(hit.isNotNull(), hit).otherwise(later(n))))
 
-def quote_spans(rows: DataFrame, key: str, text: str, quote: str) -> DataFrame:
-    """(key, char_start, char_end) of located quotations; NULL where a quotation isn't found."""
+    return bind(F.split(F.trim(quote), r"\s+"), of_words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [locate_quote(t or "", q or "") or (None, None) for t, q in zip(batch["t"], batch["q"])]
-            yield pd.DataFrame({"k": batch["k"].to_numpy(), "s": pd.array([f[0] for f in found], dtype="Int32"), "e": pd.array([f[1] for f in found], dtype="Int32")})
 
-    typed = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(quote).alias("q"))
-    return typed.mapInPandas(run, "k string, s int, e int").select(F.col("k").alias(key), F.col("s").alias("char_start"), F.col("e").alias("char_end"))
+def quote_spans(rows: DataFrame, key: str, text: str, quote: str, trim: bool = False) -> DataFrame:
+    """(key, char_start, char_end) of located quotations; NULL where a quotation isn't found."""
+    place = (trimmed_quote if trim else locate_quote)(F.col(text), F.col(quote))
+    return rows.select(F.col(key).cast("string").alias(key), place.alias("_at")).select(
+        key, F.col("_at.start").alias("char_start"), F.col("_at.end").alias("char_end")
+    )

@@ -1,11 +1,13 @@
-"""Exact nearest neighbours by blocks, and vector arithmetic in SQL."""
+"""Exact nearest neighbours of stated queries, and vector arithmetic in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,42 +45,121 @@ def hashed_encoder(dims: int = 64) -> Callable[[Column], Column]:
     return encode
 
 
-def exact_knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, segment: str | None = None, block: int = 4096, skip_self: bool = True) -> DataFrame:
+QUERY_BLOCK = 16_384  # queries sent to the rows at once
+
+
+class _Best:
+    """The k best hits of every query so far; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.edge = k, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, item, score))
+        self.held += len(query)
+        if self.held > 20 * self.k * len(self.edge) + 200_000:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, item, score = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((item, -np.round(score, 9), query))
+        query, item, score = query[order], item[order], score[order]
+        first = np.searchsorted(query, query)
+        place = np.arange(len(query)) - first
+        full = place == self.k - 1
+        self.edge[query[full]] = score[full] - 1e-9
+        keep = place < self.k
+        self.parts = [(query[keep], item[keep], score[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def exact_knn(
+    queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int | None, segment: str | None = None, skip_self: bool = True,
+    min_score: float | None = None, per_segment: bool = False, query_block: int = QUERY_BLOCK,
+) -> DataFrame:
     """(query, key, score, rank): the k rows with the largest inner product, of all rows (or all of the same segment).
 
-    Filters belong in front of it. Both sides are cut into blocks of bounded size and every pair of blocks is one
-    matrix product, so neither side is broadcast and no task grows with the data; blocks return their k best, which a
-    ranking window merges.
+    Filters belong in front of it. The stated queries go to the rows in blocks of about ``query_block``; the rows stay
+    where they are. Every task multiplies its rows with the block and keeps the k best hits of each query, which a
+    ranking window over all tasks merges. ``min_score`` is applied before anything leaves a task; with ``k = None`` all
+    hits from it on come out, without a rank. With ``per_segment`` the k best of every segment come out, for all queries;
+    the segment of a query is then of no account.
+
+    Defined cases: NULL vectors and keys are skipped, and vectors of another length than the queries have most often;
+    hits equal to 9 digits go to the smaller key.
     """
+    if k is None and min_score is None:
+        raise ValueError("either k or min_score is needed")
+    spark = rows.sparkSession
     seg = F.col(segment).cast("string") if segment else F.lit("")
-    q = queries.select(seg.alias("s"), F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    r = rows.select(seg.alias("s"), F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    blocks = lambda df, name: df.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    sizes = blocks(q, "qb").join(blocks(r, "rb"), "s")  # one row per segment
-    number = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
-    left = q.join(sizes, "s").select("s", (number % F.col("qb")).cast("int").alias("qn"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("rn"), F.col("i").alias("qi"), F.col("v").alias("qv"))
-    right = r.join(sizes, "s").select(F.col("s").alias("rs"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qn"), (number % F.col("rb")).cast("int").alias("rn"), F.col("i").alias("ri"), F.col("v").alias("rv"))
-    right = right.select("rs", F.col("qn").alias("qm"), F.col("rn").alias("rm"), "ri", "rv")
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "item": [], "score": []}).astype({"query": "int64", "item": "int64", "score": "float64"})
-        b = b.sort_values("ri")
-        ids, matrix = b["ri"].to_numpy(), np.stack(b["rv"].to_numpy())
-        parts = []
-        for at in range(0, len(a), 512):
-            part = a.iloc[at : at + 512]
-            own = part["qi"].to_numpy()
-            scores = np.stack(part["qv"].to_numpy()) @ matrix.T
-            if skip_self:
-                scores[own[:, None] == ids[None, :]] = -np.inf
-            top = min(k, len(ids))
-            edge = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-            where = np.argwhere((scores >= edge - 1e-9) & np.isfinite(scores))
-            parts.append(pd.DataFrame({"query": own[where[:, 0]], "item": ids[where[:, 1]], "score": scores[where[:, 0], where[:, 1]]}))
-        return pd.concat(parts, ignore_index=True)
-
-    hits = left.groupBy("s", "qn", "rn").cogroup(right.groupBy("rs", "qm", "rm")).applyInPandas(multiply, "query bigint, item bigint, score double")
-    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "item")
+    typed = lambda df, s: df.select(s.alias("s"), F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND i IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    q, r = typed(queries, F.lit("") if per_segment else seg), typed(rows, seg).filter("s IS NOT NULL")
+    lengths = {x.n: x.c for x in q.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()}
+    schema = "query bigint, s string, item bigint, score double"
+    if not lengths:
+        return spark.createDataFrame([], schema).selectExpr("query", f"item AS `{key}`", "score", "CAST(NULL AS int) AS rank")
+    dims, total = next(iter(lengths.items()))
+    blocks = -(-total // query_block)
+    found = []
+    for number in range(blocks):
+        part = q.filter((F.size("v") == dims) & (F.pmod(F.xxhash64("i"), F.lit(blocks)) == number)).toArrow()  # about query_block rows
+        order = np.argsort(part["i"].to_numpy(), kind="stable")
+        matrix = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)[order]
+        segments = np.array(part["s"].to_pylist(), dtype=object)[order]
+        found.append(_against(r.filter(F.size("v") == dims), part["i"].to_numpy()[order], segments, matrix, k, skip_self, min_score, per_segment, schema))
+    hits = reduce(DataFrame.unionByName, found)
+    if k is None:
+        return hits.select("query", F.col("item").alias(key), "score", F.lit(None).cast("int").alias("rank"))
+    best = Window.partitionBy("query", *(["s"] if per_segment else [])).orderBy(F.desc(F.round("score", 9)), "item")
     ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query", F.col("item").alias(key), "score", "rank")
+
+
+def _against(rows: DataFrame, own: np.ndarray, segments: np.ndarray, matrix: np.ndarray, k: int | None, skip_self: bool, min_score: float | None, per_segment: bool, schema: str) -> DataFrame:
+    """Hits of one block of queries in all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((own, segments, matrix))
+    floor = -np.inf if min_score is None else min_score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, segments, matrix = shared.value
+        numbers = {s: np.flatnonzero(segments == s) for s in set(segments.tolist())}
+        best: dict[str, _Best] = {}
+
+        def pack(query: np.ndarray, s: str, item: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array([s] * len(query), pa.string()), pa.array(item), pa.array(score)], ["query", "s", "item", "score"])
+
+        for batch in batches:
+            ids = batch.column("i").to_numpy(zero_copy_only=False)
+            vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            names = np.array(batch.column("s").to_pylist(), dtype=object)
+            for s in sorted(set(names.tolist())):
+                asked = np.arange(len(own)) if per_segment else numbers.get(s, ())
+                if not len(asked):
+                    continue
+                held = np.flatnonzero(names == s)
+                state = best.setdefault(s if per_segment else "", _Best(len(own), k)) if k else None
+                for a in range(0, len(held), 4096):
+                    mine = held[a : a + 4096]
+                    for b in range(0, len(asked), 1024):
+                        rows_ = asked[b : b + 1024]
+                        scores = matrix[rows_] @ vectors[mine].T
+                        if skip_self:
+                            scores[own[rows_][:, None] == ids[mine][None, :]] = -np.inf
+                        least = np.full((len(rows_), 1), floor)
+                        if state:
+                            least = np.maximum(least, state.edge[rows_][:, None])
+                            if len(mine) > k and np.isinf(least).any():
+                                least = np.maximum(least, -np.partition(-np.nan_to_num(scores, nan=-np.inf), k - 1, axis=1)[:, k - 1 : k] - 1e-9)
+                        at = np.argwhere((scores >= least) & np.isfinite(scores))
+                        query, item, score = rows_[at[:, 0]], ids[mine[at[:, 1]]], scores[at[:, 0], at[:, 1]]
+                        if state:
+                            state.add(query, item, score)
+                        elif len(query):
+                            yield pack(query, s, item, score)
+        for s, state in best.items():
+            yield pack(state.cut()[0], s, *state.cut()[1:])
+
+    return rows.mapInArrow(run, schema)

@@ -46,7 +46,7 @@ def knn_topk(spark: SparkSession, base: str) -> DataFrame:
 def knn_join(spark: SparkSession, base: str) -> DataFrame:
     """All neighbours of the stated queries from a similarity on, counted; no limit on their number."""
     queries, rows = _embeddings(spark, base)
-    every = vectors.exact_knn(queries, rows, "vec_id", "embedding", 2_000_000_000).filter("score >= 0.3")
+    every = vectors.exact_knn(queries, rows, "vec_id", "embedding", None, min_score=0.3)
     return every.groupBy("query").agg(count(), F.round(F.max("score"), 6).alias("best"))
 
 
@@ -55,7 +55,7 @@ def knn_segmented(spark: SparkSession, base: str) -> DataFrame:
     return _rounded(vectors.exact_knn(*_embeddings(spark, base), "vec_id", "embedding", 5, segment="label"))
 
 
-@query("knn_filtered", _TOP.format(_SIMS + " AND r.label IN (0, 2) AND r.vec_id BETWEEN 50 AND 400", 5))
+@query("knn_filtered", _TOP.format(_SIMS + " AND r.label IN (0, 2)", 5))
 def knn_filtered(spark: SparkSession, base: str) -> DataFrame:
     queries, rows = _embeddings(spark, base)
     return _rounded(vectors.exact_knn(queries, rows.filter("label IN (0, 2)"), "vec_id", "embedding", 5))
@@ -69,7 +69,7 @@ def knn_filtered(spark: SparkSession, base: str) -> DataFrame:
 def knn_dedup_key(spark: SparkSession, base: str) -> DataFrame:
     """One result per article: the nearest of each article is enough to rank the articles."""
     queries, rows = _embeddings(spark, base)
-    parts = vectors.exact_knn(queries.withColumn("article", F.explode(F.sequence(F.lit(0), F.lit(49)))), rows.withColumn("article", F.col("vec_id") % 50), "vec_id", "embedding", 1_000_000, segment="article")
+    parts = vectors.exact_knn(queries, rows.withColumn("article", F.col("vec_id") % 50), "vec_id", "embedding", 1, segment="article", per_segment=True)
     best = ranking.diverse_top_k(parts.drop("rank").withColumn("article", F.col("vec_id") % 50), ["query"], "article", F.desc(F.round("score", 9)), "vec_id", 1, 6)
     return best.select("query", "vec_id", "article", "rank")
 
@@ -332,7 +332,7 @@ def exact_lookup(spark: SparkSession, base: str) -> DataFrame:
 
 
 _HYBRID_SQL = f"""
-WITH qs AS (SELECT id AS query, max(text) AS text FROM chunks WHERE section = 'regeste' AND id % 20 = 0 GROUP BY 1),
+WITH qs AS (SELECT id AS query, max(text) AS text FROM chunks WHERE id % 20 = 0 GROUP BY 1),
 t AS (SELECT id, max(decision_id) AS document, max(text) AS text FROM chunks GROUP BY 1),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM t) GROUP BY 1, 2),
 l AS (SELECT id, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),

@@ -58,7 +58,7 @@ def chunk_documents(spark: SparkSession, base: str) -> DataFrame:
     "span_context",
     """SELECT id, CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(full_text, lo + 1, hi - lo) || CASE WHEN hi < length(full_text) THEN '…' ELSE '' END AS context
        FROM (SELECT c.id, d.full_text, greatest(c.char_start - 300, 0) AS lo, least(c.char_end + 300, length(d.full_text)) AS hi
-             FROM (SELECT DISTINCT id, decision_id, char_start, char_end FROM chunks WHERE section = 'dispositiv' OR chunk_index = 0) c
+             FROM (SELECT DISTINCT id, decision_id, char_start, char_end FROM chunks) c
              JOIN (SELECT decision_id, max(full_text) AS full_text FROM decisions GROUP BY 1) d USING (decision_id) WHERE c.char_start IS NOT NULL AND d.full_text IS NOT NULL)""",
 )
 def span_context(spark: SparkSession, base: str) -> DataFrame:
@@ -108,7 +108,7 @@ def paragraph_search(spark: SparkSession, base: str) -> DataFrame:
 # --- tokens and keyword search --------------------------------------------------------------------------------------
 
 
-@query("tokenize_counts", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents WHERE kind = 'headnote') WHERE NOT list_contains({sorted(set(tx.STOPWORDS))!r}, term) GROUP BY 1, 2")
+@query("tokenize_counts", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) WHERE NOT list_contains({sorted(set(tx.STOPWORDS))!r}, term) GROUP BY 1, 2")
 def tokenize_counts(spark: SparkSession, base: str) -> DataFrame:
     return keyword.term_counts(table(spark, base, "documents", ("doc_id", "text")), "doc_id", "text", tx.content_words)
 
@@ -402,10 +402,18 @@ def _language_sql() -> str:
     def counted(lists: dict[str, tuple[str, ...]]) -> str:
         return "[" + ", ".join(f"{{'n': len(list_filter(ws, lambda w: list_contains({list(lists[lang])!r}, w))), 'o': {-i}, 'lang': '{lang}'}}" for i, lang in enumerate(language.LANGS)) + "]"
 
+    # as the operator's clues, for an engine whose word characters are those of ASCII
+    before, behind = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
+    clues = "\n".join(
+        f"WHEN regexp_matches(u, '[{letters}]|{before}({names}){behind}') THEN '{lang}'"
+        for lang, letters, names in (("de", "äöüß", "OR|StGB|ZGB|ZPO|SchKG"), ("it", "ìò", "cpv|Cost"), ("fr", "éèçœâêëîïôûÿ", "CO|CP|Cst"))
+    )
     return rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(regexp_replace(text, '(?m)^>[^\n]*$', ' ', 'g'), '\b[A-Z]{{2,}}\b', ' ', 'g')), '[\p{{L}}]+') AS ws FROM documents WHERE text IS NOT NULL),
-     c AS (SELECT doc_id, list_reverse_sort({counted(language.FUNCTION_WORDS)}) AS s, list_reverse_sort({counted(language.FIELD_WORDS)}) AS f FROM w)
-SELECT doc_id, CASE WHEN s[1].n >= 2 AND s[1].n > s[2].n THEN s[1].lang WHEN f[1].n > 0 AND f[1].n > f[2].n THEN f[1].lang WHEN s[1].n > s[2].n THEN s[1].lang ELSE 'de' END AS language FROM c"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '(?m)^>[^\n]*$', ' ', 'g') AS u FROM documents WHERE text IS NOT NULL),
+     w AS (SELECT doc_id, u, regexp_extract_all(lower(regexp_replace(u, '\b[A-Z]{{2,}}\b', ' ', 'g')), '[\p{{L}}]+') AS ws FROM t),
+     c AS (SELECT doc_id, u, list_reverse_sort({counted(language.FUNCTION_WORDS)}) AS s, list_reverse_sort({counted(language.FIELD_WORDS)}) AS f FROM w)
+SELECT doc_id, CASE WHEN s[1].n >= 2 AND s[1].n > s[2].n THEN s[1].lang WHEN f[1].n > 0 AND f[1].n > f[2].n THEN f[1].lang WHEN s[1].n > s[2].n THEN s[1].lang
+{clues} ELSE 'de' END AS language FROM c"""
 
 
 @query("detect_language", _language_sql())

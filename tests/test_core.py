@@ -174,9 +174,21 @@ def test_keyword(spark):
 
 
 def test_overlap(spark):
-    assert overlap.locate_quote("Der Richter sagte: «Das ist\nfalsch ge-\nwesen» und ging.", '"das ist falsch gewesen"') == (20, 44)
-    assert overlap.locate_quote("Anfang des Satzes, Mitte davon, Schluss des Satzes.", "Anfang des Satzes […] Schluss des Satzes") == (0, 50)
-    assert overlap.locate_quote("nichts", "etwas ganz anderes") is None
+    long = "Das Gericht hielt fest, dass die Kündigung der Wohnung während der Sperrfrist missbräuchlich und daher ungültig war."
+    cases = [
+        ("Der Richter sagte: «Das ist\nfalsch ge-\nwesen» und ging.", '"das ist falsch gewesen"', (20, 44), (20, 44)),
+        ("Anfang des Satzes, Mitte davon, Schluss des Satzes.", "Anfang des Satzes […] Schluss des Satzes", (0, 50), (0, 50)),
+        ("nichts", "etwas ganz anderes", None, None),
+        ("Vorher. " + long.replace("der Wohnung während", "der gemieteten Wohnung während"), long, (8, 8 + len(long) + 10), (8, 8 + len(long) + 10)),  # head and tail
+        ("Vorher. " + long[:80] + " etwas ganz anderes folgt hier", long[:80] + " missraten und rechtswidrig war", (8, 88), (8, 88)),  # a beginning
+        ("Vorher. " + long, "Wie man so sagt: " + long, None, (8, 7 + len(long))),  # leading words dropped
+        ("a.b (c) [d] {e} $1 \\Q x", "a.b (c) [d] {e} $1 \\q", (0, 21), (0, 21)),
+        (None, "etwas ganz anderes", None, None), ("etwas ganz anderes", None, None, None), ("", "", None, None), ("kurz", "...", None, None),
+    ]
+    df = spark.createDataFrame([(i, t, q) for i, (t, q, _, _) in enumerate(cases)], "i int, t string, q string")
+    for trim, expected in ((False, [c[2] for c in cases]), (True, [c[3] for c in cases])):
+        got = {int(r.i): (r.char_start, r.char_end) if r.char_start is not None else None for r in overlap.quote_spans(df, "i", "t", "q", trim).collect()}
+        assert [got[i] for i in range(len(cases))] == expected
     df = spark.createDataFrame([("c", 1, 1, "Kündigung Miete Frist"), ("c", 2, 2, "frist miete kündigung"), ("c", 3, 3, "Scheidung Unterhalt"), ("c", 4, 4, None)], "g string, k int, o int, t string")
     got = {r.k: r.repeats for r in overlap.accepted_only(df, "g", ["o"], "k", "t").collect()}
     assert got == {"1": None, "2": "1", "3": None, "4": None}
@@ -207,7 +219,7 @@ def test_word_set_classes_lose_no_link(spark):
 def test_vectors(spark):
     data = [(i, [float((i * j) % 7 - 3) for j in range(8)]) for i in range(60)] + [(99, None)]
     df = spark.createDataFrame(data, "id long, v array<float>")
-    got = vectors.exact_knn(df.filter("id < 5"), df, "id", "v", 3, block=16)
+    got = vectors.exact_knn(df.filter("id < 5"), df, "id", "v", 3, query_block=2)
     import numpy as np
 
     m = {i: np.array(v) for i, v in data if v}
@@ -287,8 +299,8 @@ def test_sql_agrees(spark, name):
     assert sorted(tuple(str(v) for v in r) for r in got.select(*columns).collect()) == sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
 
 
-def _whole_sql(name, cut, whole):
-    """The rows of the query's SQL over sf0.001 with ``cut`` replaced; the registered SQL keeps it."""
+@pytest.mark.parametrize("name", ["knn_filtered", "hybrid_search", "tokenize_counts", "span_context", "knn_join", "knn_dedup_key", "detect_language"])
+def test_whole_job_agrees(spark, name):
     import duckdb
 
     import __spark_entry__ as entry
@@ -296,24 +308,8 @@ def _whole_sql(name, cut, whole):
     con = duckdb.connect()
     for t in ("chunks", "counts", "decisions", "documents", "embeddings", "passage_vectors"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    text = entry.oracle_sql()[name]
-    assert cut in text
-    cursor = con.execute(text.replace(cut, whole))
-    return [c[0] for c in cursor.description], sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
-
-
-@pytest.mark.parametrize(
-    "name, cut, whole",
-    [
-        ("knn_filtered", " AND r.vec_id BETWEEN 50 AND 400", ""),
-        ("hybrid_search", "section = 'regeste' AND id % 20 = 0", "id % 20 = 0"),
-        ("tokenize_counts", " WHERE kind = 'headnote'", ""),
-        ("span_context", " WHERE section = 'dispositiv' OR chunk_index = 0", ""),
-    ],
-)
-def test_whole_job_agrees(spark, name, cut, whole):
-    import __spark_entry__ as entry
-
-    columns, expected = _whole_sql(name, cut, whole)
+    cursor = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in cursor.description]
+    expected = sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
     got = entry.queries()[name](spark, "/root/testdata/sf0.001").select(*columns)
     assert expected and sorted(tuple(str(v) for v in r) for r in got.collect()) == expected
