@@ -2,8 +2,11 @@
 
 A reference is an orphan when its canonical id (a) has no decision, (b) was removed after the last delivery of it, or
 (c) was delivered only after the reference was made. References of one key are counted per month before anything is
-shuffled. The ``HEAVY_KEYS`` most cited keys, a set bounded by that constant, are checked against the decisions through
-a broadcast; the remaining keys meet the decisions in a shuffle join. Both parts are united.
+shuffled, and only these groups meet the decisions. The ``HEAVY_KEYS`` most cited keys, a set bounded by that constant,
+are checked through a broadcast; of the remaining keys an anti-join finds those without a decision, a join those whose
+decision was removed or came late. Both parts are united. Rows are looked at again only to name the references of
+orphan groups, and where a month holds both late and timely references of a key. For that, the orphan groups are sent
+to the rows while there are at most ``SENT_GROUPS`` of them; more meet the rows in a shuffle, heavy keys apart.
 
 Defined cases: a NULL or blank-free empty end is no reference; a NULL time makes no reference late and is reported in
 the period ``unknown``; a decision without any ``indexed_at`` counts as always there, until it is removed; a removal
@@ -16,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelgrid.functions.identity import canonical_id
+from gavelgrid.session import checkpointed
 from gavelgrid.sources.tables import require
 
 HEAVY_KEYS = 256
+SENT_GROUPS = 500_000  # orphan groups that are broadcast
 
 
 def reference_rows(edges: DataFrame, counts: DataFrame) -> DataFrame:
@@ -76,60 +81,75 @@ def decision_states(decisions: DataFrame, removed: DataFrame) -> DataFrame:
     )
 
 
-def _reason(at: Column) -> Column:
-    return (
-        F.when(F.col("gone").isNull(), F.lit("missing"))
-        .when(F.col("gone"), F.lit("removed"))
-        .when(at < F.col("first_at"), F.lit("late"))
-    )
-
-
-def _heavy(keys: DataFrame, weight: str) -> DataFrame:
-    return keys.groupBy("canon").agg(F.sum(weight).alias("w")).orderBy(F.desc("w"), "canon").limit(HEAVY_KEYS).select("canon")
-
-
-def _with_state(rows: DataFrame, states: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Rows with the state of their key: heavy keys through a broadcast, the others through a shuffle."""
-    heavy_states = F.broadcast(heavy.join(states.join(F.broadcast(heavy), "canon", "left_semi"), "canon", "left"))
-    hot = rows.join(heavy_states, "canon")
-    cold = rows.join(F.broadcast(heavy), "canon", "left_anti").join(states, "canon", "left")
+def _heavy(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("canon").agg(F.sum("n").alias("w")).orderBy(F.desc("w"), "canon").limit(HEAVY_KEYS).select("canon")
+
+
+def _groups(rows: DataFrame, *more: str) -> DataFrame:
+    """References counted per key and month, with the first and last of their times."""
+    period = F.date_trunc("month", "at").alias("period")
+    return rows.groupBy(*more, "canon", period).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_ref"), F.max("at").alias("last_ref"))
+
+
+def _orphan_groups(groups: DataFrame, states: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The groups with an orphan, ``reason``, and ``first_at`` where only the references before it are orphans."""
+    late = (F.col("first_at").isNotNull()) & (F.col("first_ref") < F.col("first_at"))
+    why = F.when(F.col("gone"), F.lit("removed")).when(late, F.lit("late"))
+    bounded = F.broadcast(heavy)
+    known = F.broadcast(bounded.join(states.join(bounded, "canon", "left_semi"), "canon", "left"))
+    hot = groups.join(known, "canon").withColumn("reason", F.when(F.col("gone").isNull(), F.lit("missing")).otherwise(why))
+    cold = groups.join(bounded, "canon", "left_anti")
+    missing = cold.join(states, "canon", "left_anti").withColumn("reason", F.lit("missing"))
+    held = cold.join(states.filter("gone OR first_at IS NOT NULL"), "canon").withColumn("reason", why)
+    found = hot.unionByName(held).unionByName(missing, allowMissingColumns=True).filter("reason IS NOT NULL")
+    mixed = (F.col("reason") == "late") & (F.col("last_ref") >= F.col("first_at"))
+    return found.withColumn("first_at", F.when(mixed, F.col("first_at"))).drop("gone")
+
+
+def _rows_of(groups: DataFrame, rows: DataFrame, heavy: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows of stored groups that are orphans: all of a group, or those before its ``first_at``."""
+    dated = rows.withColumn("period", F.date_trunc("month", "at"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"g.{key}"))
+    before = F.col("g.first_at").isNull() | (F.col("r.at") < F.col("g.first_at"))
+    columns = ["r.*", "g.reason"]
+
+    def meet(r: DataFrame, g: DataFrame) -> DataFrame:
+        return r.alias("r").join(g.alias("g"), same).filter(before).select(*columns)
+
+    wanted = groups.select(*keys, "first_at", "reason")
+    if groups.count() <= most:
+        return meet(dated, F.broadcast(wanted))
+    bounded = F.broadcast(heavy)
+    # the months of a heavy key are few, so its groups are sent to the rows
+    hot = meet(dated.join(bounded, "canon", "left_semi"), F.broadcast(wanted.join(bounded, "canon", "left_semi")))
+    cold = meet(dated.join(bounded, "canon", "left_anti"), wanted.join(bounded, "canon", "left_anti"))
     return hot.unionByName(cold)
 
 
-def orphan_references(edges: DataFrame, counts: DataFrame, decisions: DataFrame, removed: DataFrame) -> DataFrame:
+def orphan_references(edges: DataFrame, counts: DataFrame, decisions: DataFrame, removed: DataFrame, most: int = SENT_GROUPS) -> DataFrame:
     """(ref_table, ref_field, ref_key, reason): every orphan reference once."""
     rows = reference_rows(edges, counts)
-    keys = rows.withColumn("period", F.date_trunc("month", "at")).groupBy("canon", "period").agg(F.count(F.lit(1)).alias("n"))
-    found = _with_state(rows, decision_states(decisions, removed), _heavy(keys, "n"))
-    return found.select("ref_table", "ref_field", "ref_key", _reason(F.col("at")).alias("reason")).filter("reason IS NOT NULL").distinct()
+    groups = checkpointed(_groups(rows))
+    heavy = checkpointed(_heavy(groups))
+    orphans = checkpointed(_orphan_groups(groups, decision_states(decisions, removed), heavy))
+    found = _rows_of(orphans, rows, heavy, ["canon", "period"], most)
+    return found.select("ref_table", "ref_field", "ref_key", "reason").distinct()
 
 
-def orphan_report(edges: DataFrame, counts: DataFrame, decisions: DataFrame, removed: DataFrame) -> DataFrame:
+def orphan_report(edges: DataFrame, counts: DataFrame, decisions: DataFrame, removed: DataFrame, most: int = SENT_GROUPS) -> DataFrame:
     """(ref_table, ref_field, period, reason, n_refs, n_keys): orphan counts per table and month.
 
-    Counts come from the pre-aggregated (key, month) groups. Only in the month of a key's first delivery a group may
-    hold late and timely references; those groups are counted again from the rows.
+    Counts come from the groups. Only in the month of a key's first delivery a group may hold late and timely references;
+    the late ones are counted from the rows.
     """
-    month = lambda c: F.date_trunc("month", c)
-    rows = reference_rows(edges, counts).withColumn("period", month(F.col("at")))
-    groups = rows.groupBy("ref_table", "ref_field", "canon", "period").agg(F.count(F.lit(1)).alias("n"))
-    states = decision_states(decisions, removed)
-    judged = _with_state(groups, states, _heavy(groups, "n"))
-    border = F.col("period") == month(F.col("first_at"))
-    settled = judged.filter(F.coalesce(F.col("gone") | ~border, F.lit(True))).select(
-        "ref_table", "ref_field", "canon", "period", "n", _reason(F.col("period")).alias("reason")
-    )
-    mixed_keys = states.filter("NOT gone AND first_at IS NOT NULL").select("canon", month(F.col("first_at")).alias("period"), "first_at")
-    mixed = (
-        rows.join(mixed_keys, ["canon", "period"])
-        .filter("at < first_at")
-        .groupBy("ref_table", "ref_field", "canon", "period")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("reason", F.lit("late"))
-    )
-    return (
-        settled.filter("reason IS NOT NULL")
-        .unionByName(mixed)
-        .groupBy("ref_table", "ref_field", F.coalesce(F.date_format("period", "yyyy-MM"), F.lit("unknown")).alias("period"), "reason")
-        .agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))
-    )
+    by = ["ref_table", "ref_field", "canon", "period"]
+    rows = reference_rows(edges, counts)
+    groups = checkpointed(_groups(rows, "ref_table", "ref_field"))
+    heavy = checkpointed(_heavy(groups))
+    orphans = checkpointed(_orphan_groups(groups, decision_states(decisions, removed), heavy))
+    mixed = _rows_of(orphans.filter("first_at IS NOT NULL"), rows, heavy, by, most).groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
+    counted = orphans.filter("first_at IS NULL").select(*by, "reason", "n").unionByName(mixed.select(*by, "reason", "n"))
+    period = F.coalesce(F.date_format("period", "yyyy-MM"), F.lit("unknown")).alias("period")
+    return counted.groupBy("ref_table", "ref_field", period, "reason").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))
