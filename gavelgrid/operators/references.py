@@ -23,7 +23,7 @@ from gavelgrid.session import checkpointed
 from gavelgrid.sources.tables import require
 
 HEAVY_KEYS = 256
-SENT_GROUPS = 500_000  # orphan groups that are broadcast
+SENT_GROUPS = 100_000  # orphan groups that are broadcast
 
 
 def reference_rows(edges: DataFrame, counts: DataFrame) -> DataFrame:
