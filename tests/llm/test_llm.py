@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import random
 
@@ -190,23 +191,24 @@ def test_neighbours_against_brute_force(spark):
     data += [(3000 + i, hot * (1 + i % 3)) for i in range(1500)]  # a third of the rows, in one direction
     given = [(i, [float(x) for x in v]) for i, v in data]
     given += [(10, given[10][1]), (None, given[0][1]), (9001, None), (9002, [0.0] * 64), (9003, [1.0] * 63), (9004, [float("nan")] * 64), (9005, [1.0] * 63 + [None])]
-    p = neighbours.Params(per_list=64, sample=1500, block=256)
-    got = {}
-    for r in neighbours.nearest(_vectors(spark, given), p).collect():
-        got.setdefault(r.rowid, {})[r["rank"]] = (r.neighbour, r.similarity)
+    p = neighbours.Params(per_cell=400, per_list=32, sample=1500, block=256)  # cells of several lists, some cells in parts
     ids = np.array([i for i, _ in data])
     x = np.stack([v for _, v in data])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert set(got) == set(ids.tolist())
-    assert [got[3000][k][0] for k in range(1, 6)] == [3001, 3002, 3003, 3004, 3005]  # ties: smaller ids
-    assert [got[4000][k][0] for k in range(1, 6)] == [3000, 3001, 3002, 3003, 3004]
-    hits = 0
-    for i in range(0, 3000, 10):
-        sims = x @ x[i]
-        sims[i] = -2
-        best = np.sort(sims)[::-1][4]
-        hits += sum(sims[np.where(ids == j)[0][0]] >= best - 1e-6 for j, _ in got[i].values())
-    assert hits / (300 * 5) >= 0.9
+    for params, least in ((p, 0.9), (dataclasses.replace(p, exhaustive=True), 1.0)):
+        got: dict = {}
+        for r in neighbours.nearest(_vectors(spark, given), params).collect():
+            got.setdefault(r.rowid, {})[r["rank"]] = (r.neighbour, r.similarity)
+        assert set(got) == set(ids.tolist())
+        assert [got[3000][k][0] for k in range(1, 6)] == [3001, 3002, 3003, 3004, 3005]  # ties: smaller ids
+        assert [got[4000][k][0] for k in range(1, 6)] == [3000, 3001, 3002, 3003, 3004]
+        hits = 0
+        for i in range(0, 3000, 10):
+            sims = x @ x[i]
+            sims[i] = -2
+            best = np.sort(sims)[::-1][4]
+            hits += sum(sims[np.where(ids == j)[0][0]] >= best - 1e-6 for j, _ in got[i].values())
+        assert hits / (300 * 5) >= least
     pairs = neighbours.similar_pairs(_vectors(spark, given[:50]), 0.9, p)
     assert all(r.rowid_a < r.rowid_b for r in pairs.collect())
 
@@ -219,10 +221,11 @@ def test_neighbours_of_few_rows(spark, n):
 
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(0)
-    centres = neighbours.balanced_centroids(rng.normal(size=(3000, 64)).astype("f4"), 300, 1)
-    queries = rng.normal(size=(200, 64)).astype("f4")
-    found, _ = neighbours.CentroidGraph(centres, 24).search(queries, 48)
-    assert (found[:, 0] == np.argmax(queries @ centres.T, axis=1)).mean() > 0.95
+    for lists in (300, 900):  # all centroids are entry points, or the graph is walked
+        centres = neighbours.balanced_centroids(rng.normal(size=(3000, 64)).astype("f4"), lists, 1)
+        queries = rng.normal(size=(200, 64)).astype("f4")
+        found, _ = neighbours.CentroidGraph(centres, 24).search(queries, 48)
+        assert (found[:, 0] == np.argmax(queries @ centres.T, axis=1)).mean() > 0.95
 
 
 # --- 6 --------------------------------------------------------------------------------------------------------------
