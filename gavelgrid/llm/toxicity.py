@@ -56,7 +56,8 @@ class Params:
 # Signs written for letters, and letters of other scripts that look like Latin ones.
 _LEET = str.maketrans("0134578@$!€", "oieastbasie")
 _LOOKALIKE = str.maketrans("аеорсухіѕјһԁԛԝο", "aeopcyxisjhdqwo")
-_INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
+_FOREIGN = re.compile("[" + "".join(map(chr, _LOOKALIKE)) + "]")
+_INVISIBLE = re.compile("[\x00­​-‏⁠﻿̀-ͯ]")
 _DISGUISED = re.compile(r"(?<![\w@$])(?=[\w@$!€]*[a-zà-ÿ][\w@$!€]*[a-zà-ÿ])(?=[\w@$!€]*[0-9@$€!][\w@$!€]*[a-zà-ÿ0-9])[\w@$!€]*[\w@$€]")
 _SPELT = re.compile(r"(?<!\w)(?:[a-zà-ÿ][ .\-_*·]){3,}[a-zà-ÿ](?!\w)")
 _FIGURE = re.compile(r"[0-9](?:[0-9'.,]*[0-9])?")
@@ -73,7 +74,9 @@ for _c in '"“”„‹›':
 
 def plain(text: str) -> str:
     """The text in lower case, with disguises undone and figures as ``0``."""
-    low = _INVISIBLE.sub("", text).lower().translate(_LOOKALIKE)
+    low = _INVISIBLE.sub("", text).lower()
+    if _FOREIGN.search(low):
+        low = low.translate(_LOOKALIKE)
     low = re.sub("[“”„‹›]", "«", low).replace("’", "'").replace("–", "-")
     low = _SPELT.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), low)
     low = _DISGUISED.sub(lambda m: m.group().translate(_LEET), low)
@@ -106,19 +109,21 @@ def _merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct n-grams in order, with their counts summed."""
     if not len(grams):
         return grams, counts
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, counts = grams[order], counts[order]
     edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[edge], np.add.reduceat(counts, edge)
 
 
-def _counted(parts: list[str], order: int, step: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the sentences and their counts, a bounded number of sentences at a time."""
+def _counted(parts: Counter[str], order: int, step: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the sentences and their counts, a bounded number of distinct sentences at a time."""
     grams, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for at in range(0, len(parts), step):
-        codes = _codes(parts[at : at + step])
-        own = _grams(codes, order)[codes > 0]
-        grams, counts = _merged(np.concatenate([grams, own]), np.concatenate([counts, np.ones(len(own), dtype=np.int64)]))
+    items = list(parts.items())
+    for at in range(0, len(items), step):
+        codes = _codes([sentence for sentence, _ in items[at : at + step]])
+        times = np.array([n for _, n in items[at : at + step]], dtype=np.int64)[np.cumsum(codes == 0) - 1]
+        inside = codes > 0
+        grams, counts = _merged(np.concatenate([grams, _grams(codes, order)[inside]]), np.concatenate([counts, times[inside]]))
     return grams, counts
 
 
@@ -129,6 +134,45 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return np.where(keys[at] == wanted, values[at], missing)
 
 
+class Places:
+    """Place of a key in a list of distinct keys, its length for any other: a table for small keys, else hashed."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, order: int) -> None:
+        n = len(keys)
+        self.direct = np.full(1 << (_BITS * order), n, dtype=np.int32) if order <= 3 else None
+        if self.direct is not None:
+            self.direct[keys] = np.arange(n)
+            return
+        self.keys = np.append(keys, -1)
+        bits = max(4, int(n).bit_length() + 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, n, dtype=np.int32)
+        left, at = np.arange(n), self._hash(keys)
+        while len(left):
+            free = self.slots[at] == n
+            self.slots[at[free]] = left[free]  # the last of several stays
+            left, at = (x[self.slots[at] != left] for x in (left, at))
+            at = (at + 1) & self.mask
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        if self.direct is not None:
+            return self.direct[wanted]
+        at = self._hash(wanted)
+        found = self.slots[at]
+        missing = len(self.keys) - 1
+        left = np.flatnonzero((self.keys[found] != wanted) & (found != missing))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slots[at[left]]
+            left = left[(self.keys[found[left]] != wanted[left]) & (found[left] != missing)]
+        return found
+
+
 class Level:
     """Discounted shares of the n-grams of one order and the weight of backing off, per context."""
 
@@ -152,18 +196,12 @@ class Table:
     serves both.
     """
 
-    def __init__(self, own: list[Level], following: list[Level] | None) -> None:
-        parts = [level.grams for level in own] + [level.contexts for level in following or []]
-        self.keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+    def __init__(self, order: int, own: list[Level], following: list[Level] | None) -> None:
+        keys = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[level.grams for level in own], *[level.contexts for level in following or []]]))
         last = np.zeros(1)  # the row of an unseen n-gram
-        self.shares = [np.append(_find(level.grams, level.share, self.keys, 0.0), last).astype(np.float32) for level in own]
-        self.backoffs = [np.append(_find(level.contexts, level.backoff, self.keys, 1.0), last + 1).astype(np.float32) for level in following or own]
-
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(grams), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        return np.where(self.keys[at] == grams, at, len(self.keys))
+        self.places = Places(keys, order)
+        self.shares = [np.append(_find(level.grams, level.share, keys, 0.0), last).astype(np.float32) for level in own]
+        self.backoffs = [np.append(_find(level.contexts, level.backoff, keys, 1.0), last + 1).astype(np.float32) for level in following or own]
 
 
 def _levels(counted: tuple[np.ndarray, np.ndarray], orders: range) -> list[Level]:
@@ -187,7 +225,7 @@ def _without_noise(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray,
 class ToxicityModel:
     """Score of a sentence: length-normalised difference of toxic and ordinary log-likelihood."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], p: Params, noise: float = 0.0) -> None:
+    def __init__(self, toxic: Counter[str], ordinary: Counter[str], p: Params, noise: float = 0.0) -> None:
         self.padding, self.window = p.padding, p.window
         self.usable = bool(toxic) and bool(ordinary)
         if self.usable:
@@ -197,7 +235,7 @@ class ToxicityModel:
                 yes, no = _without_noise(yes, no, noise), _without_noise(no, yes, noise)
             shared = [[level] for level in _levels(_counted(toxic + ordinary, SHARED), range(1, SHARED + 1))]
             levels = shared + [list(pair) for pair in zip(_levels(yes, orders), _levels(no, orders))]
-            self.tables = [Table(own, following) for own, following in zip(levels, [*levels[1:], None])]
+            self.tables = [Table(order, own, following) for order, (own, following) in enumerate(zip(levels, [*levels[1:], None]), 1)]
             self.root = [float(level.backoff[0]) if len(level.backoff) else 1.0 for level in levels[0]]
             self.usable = bool(len(yes[0])) and bool(len(no[0]))
 
@@ -212,7 +250,7 @@ class ToxicityModel:
         before: np.ndarray | None = None
         for order, table in enumerate(self.tables, 1):
             grams |= codes[np.maximum(place - order + 1, first)] << (_BITS * (order - 1))
-            rows = table.rows(grams)
+            rows = table.places.of(grams)
             if order == 1:
                 chance = [chance[0] + table.shares[0][rows]]
             else:
@@ -234,28 +272,26 @@ class ToxicityModel:
 
 
 def fit_model(rows: list[tuple[bool, str]], p: Params = Params()) -> ToxicityModel:
-    """From (labelled toxic, text) rows."""
-    parts: dict[bool, list[str]] = {True: [], False: []}
+    """From (labelled toxic, text) rows. Repeated sentences are counted, and read and scored once."""
+    parts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
     for label, text in rows:
-        parts[label] += sentences(text)
-    toxic, ordinary = parts[True], parts[False]
-    model = ToxicityModel(toxic, ordinary, p, p.noise)
-    seen = {label: Counter(parts[label]) for label in (True, False)}
+        parts[label].update(sentences(text))
+    totals = {label: max(1, sum(own.values())) for label, own in parts.items()}
+    model = ToxicityModel(parts[True], parts[False], p, p.noise)
 
     def is_toxic(sentence: str, value: float, limit: float) -> bool:
         """What the labels say of a sentence that is often repeated, else what the model says."""
-        yes, no = seen[True][sentence] / max(1, len(parts[True])), seen[False][sentence] / max(1, len(parts[False]))
-        if seen[True][sentence] + seen[False][sentence] >= p.repeated and not no * 6 < yes < no * 12:
+        yes, no = parts[True][sentence] / totals[True], parts[False][sentence] / totals[False]
+        if parts[True][sentence] + parts[False][sentence] >= p.repeated and not no * 6 < yes < no * 12:
             return yes > no * 6  # greetings and the like are a few times more usual where people insult
         return value >= limit
 
+    distinct = list(parts[True] | parts[False])
     for turn in range(p.rounds if model.usable else 0):
         limit = p.clean * (turn + 1) / p.rounds  # the first models still mix the classes
-        high = {
-            label: [is_toxic(s, v, limit) for s, v in zip(parts[label], _scored(model, parts[label]))] for label in (True, False)
-        }
-        toxic = [s for s, t in zip(parts[True], high[True]) if t]
-        ordinary = [s for s, t in zip(parts[False], high[False]) if not t]
+        high = {s: is_toxic(s, v, limit) for s, v in zip(distinct, _scored(model, distinct))}
+        toxic = Counter({s: n for s, n in parts[True].items() if high[s]})
+        ordinary = Counter({s: n for s, n in parts[False].items() if not high[s]})
         if not toxic or not ordinary:
             break
         del model
@@ -267,15 +303,25 @@ def _scored(model: ToxicityModel, parts: list[str], step: int = 4000) -> np.ndar
     return np.concatenate([np.zeros(0), *[model.scores(parts[at : at + step]) for at in range(0, len(parts), step)]])
 
 
+class SentenceScores:
+    """Scores of sentences; those that come again are looked up among the last ``most``."""
+
+    def __init__(self, model: ToxicityModel, most: int = 200_000) -> None:
+        self.model, self.most, self.known = model, most, {}
+
+    def of_documents(self, texts: list[str | None]) -> list[float]:
+        """Per text the score of its most toxic sentence."""
+        parts = [sentences(t) if t else [] for t in texts]
+        fresh = list({s for own in parts for s in own if s not in self.known})
+        if len(self.known) + len(fresh) > self.most:
+            self.known = {}
+            fresh = list({s for own in parts for s in own})
+        self.known.update(zip(fresh, _scored(self.model, fresh).tolist()))
+        return [max(map(self.known.__getitem__, own)) if own else 0.0 for own in parts]
+
+
 def document_scores(model: ToxicityModel, texts: list[str | None]) -> list[float]:
-    """Per text the score of its most toxic sentence."""
-    parts = [sentences(t) if t else [] for t in texts]
-    flat = _scored(model, [s for own in parts for s in own])
-    out, at = [], 0
-    for own in parts:
-        out.append(float(flat[at : at + len(own)].max()) if own else 0.0)
-        at += len(own)
-    return out
+    return SentenceScores(model).of_documents(texts)
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> ToxicityModel:
@@ -296,10 +342,11 @@ def score(documents: DataFrame, model: ToxicityModel, p: Params = Params()) -> D
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = SentenceScores(shared.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                yield part[["doc_id", "source"]].assign(score=document_scores(shared.value, part["text"].tolist()))
+                yield part[["doc_id", "source"]].assign(score=known.of_documents(part["text"].tolist()))
 
     scored = rows.mapInPandas(run, "doc_id bigint, source string, score double")
     return scored.withColumn("toxic", F.col("score") >= p.threshold)
