@@ -154,3 +154,8 @@ def case_score(parts: dict[str, float | None], weights: dict[str, float]) -> flo
     judged = {k: v for k, v in parts.items() if v is not None and weights.get(k)}
     total = sum(weights[k] for k in judged)
     return sum(weights[k] * v for k, v in judged.items()) / total if total else None
+
+
+def grading(error: Column, choice: Column) -> Column:
+    """How an answer is graded: not at all after an error, exactly for a multiple choice, else by a judge."""
+    return F.when(error, F.lit("unjudged")).when(choice, F.lit("exact")).otherwise(F.lit("judge"))

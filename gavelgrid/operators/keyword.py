@@ -44,17 +44,22 @@ def corpus_size(postings: DataFrame, key: str) -> tuple[int, float]:
     return int(row[0]), float(row[1] or 1.0)
 
 
-def bm25_search(documents: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, tokens=words) -> DataFrame:
+def bm25_search(
+    documents: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int | None, tokens=words, among: DataFrame | None = None
+) -> DataFrame:
     """(query, key, score, rank): the k best documents of every query.
 
-    Only the postings of query terms get weights; statistics still come from all documents.
+    Only the postings of query terms get weights; statistics still come from all documents. With ``among`` (key) only
+    those documents are scored; with ``k = None`` every document with a query term comes out, without a rank.
     """
     postings = build_index(documents, key, text, tokens)
     total, mean_length = corpus_size(postings, key)
     asked = queries.select(F.col(query), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     live = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    weighted = _weights(live, document_lengths(postings, key), key, total, mean_length)
+    weighted = _weights(live, document_lengths(postings, key), key, total, mean_length, among)
     scored = asked.join(weighted, "term").groupBy(query, key).agg(F.sum("w").alias("score"))
+    if k is None:
+        return scored.withColumn("rank", F.lit(None).cast("int"))
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -98,11 +103,12 @@ def broad_search(documents: DataFrame, key: str, text: str, queries: DataFrame,
     return tiered.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(query, key, "tier", "score", "rank")
 
 
-def _weights(live: DataFrame, lengths: DataFrame, key: str, total: int, mean_length: float) -> DataFrame:
+def _weights(live: DataFrame, lengths: DataFrame, key: str, total: int, mean_length: float, among: DataFrame | None = None) -> DataFrame:
     df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    return live.join(df, "term").join(lengths, key).select(key, "term", (idf * damped).alias("w"))
+    held = live if among is None else live.join(among.select(key).distinct(), key, "left_semi")
+    return held.join(df, "term").join(lengths, key).select(key, "term", (idf * damped).alias("w"))
 
 
 def postings_delta(postings: DataFrame, added: DataFrame, removed: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gavelgrid.plans import orphans, relational, retrieval, textual
+from gavelgrid.plans import orphans, relational, retrieval, textual, wording
 from gavelgrid.plans.registry import Query
 
-MODULES = (orphans, relational, textual, retrieval)
+MODULES = (orphans, relational, textual, retrieval, wording)
 
 
 def core_queries() -> dict[str, Query]:

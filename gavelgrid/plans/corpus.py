@@ -1,19 +1,21 @@
 """The corpus as a user sees it: search, read, cite, list and count, each a thin wrapper over the operators.
 
-Every method returns a DataFrame; nothing is computed before its rows are asked for.
+Every method returns a DataFrame. Searches by BM25 write their postings, and vector searches read their query, when
+they are called; everything else is computed when its rows are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelgrid.functions import text as tx
 from gavelgrid.functions.identity import canonical_id, docket_key
 from gavelgrid.functions.references import canon_code
 from gavelgrid.operators import facets, graph, keyword, ranking, vectors
+from gavelgrid.operators.ingest import global_position
 from gavelgrid.sources.tables import table
 
 FILTERS = ("language", "canton", "court", "branch")
@@ -57,7 +59,8 @@ class Corpus:
             return self.passages().limit(0).select("id", "decision_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         matching = self.passages(**filters).filter(keyword.match_condition(F.col("text"), query))
         asked = self.spark.createDataFrame([(1, query.replace('"', " "))], "q int, t string")
-        scored = keyword.bm25_search(self.passages(), "id", "text", asked, "q", "t", 2_000_000_000).join(matching.select("id", "decision_id"), "id")
+        matching = matching.select("id", "decision_id")
+        scored = keyword.bm25_search(self.passages(), "id", "text", asked, "q", "t", None, among=matching).join(matching, "id")
         return ranking.diverse_top_k(scored.drop("rank"), ["q"], "decision_id", F.desc(F.round("score", 9)), "id", per_decision, k).select("id", "decision_id", "score", "rank")
 
     def broad_search(self, query: str, k: int = 20, **filters: Sequence[str] | None) -> DataFrame:
@@ -95,7 +98,7 @@ class Corpus:
         laws = self.table("documents", "doc_id", "text", "lang", "kind").filter("kind = 'statute'")
         laws = laws.filter(F.col("lang") == language) if language else laws
         asked = self.spark.createDataFrame([(1, query)], "q int, t string")
-        hits = keyword.bm25_search(laws, "doc_id", "text", asked, "q", "t", 2_000_000_000).drop("rank")
+        hits = keyword.bm25_search(laws, "doc_id", "text", asked, "q", "t", None).drop("rank")
         named = hits.join(laws.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("article")), "doc_id")
         return ranking.diverse_top_k(named, ["q"], "article", F.desc(F.round("score", 9)), "doc_id", 1, k).select("doc_id", "article", "score", "rank")
 
@@ -128,5 +131,5 @@ class Corpus:
         and without scores the order stays."""
         if scores is None:
             return hits
-        place = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("model_score"), "rank")
-        return hits.join(scores, key, "left").withColumn("rank", F.row_number().over(place))
+        scored = hits.join(scores, key, "left").withColumn("_unscored", F.col("model_score").isNull())
+        return global_position(scored, [F.asc("_unscored"), F.desc("model_score"), F.asc("rank")], "_place").withColumn("rank", F.col("_place")).drop("_place", "_unscored")

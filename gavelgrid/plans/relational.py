@@ -752,9 +752,9 @@ def sort_mixed(spark: SparkSession, base: str) -> DataFrame:
     return rows.orderBy(F.asc_nulls_last("kind"), F.desc_nulls_last("n_chars"), "doc_id").limit(50)
 
 
-@query("latest_citing", "SELECT edge_id, source, target, recorded_at FROM edges WHERE target = 'bger_1B.60222_2012' ORDER BY recorded_at DESC NULLS LAST, edge_id LIMIT 30")
+@query("latest_citing", "SELECT edge_id, source, target, recorded_at FROM edges WHERE target = 'bge_BGE_205_VI_378' ORDER BY recorded_at DESC NULLS LAST, edge_id LIMIT 30")
 def latest_citing(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "edges", ("edge_id", "source", "target", "recorded_at")).filter("target = 'bger_1B.60222_2012'")
+    rows = table(spark, base, "edges", ("edge_id", "source", "target", "recorded_at")).filter("target = 'bge_BGE_205_VI_378'")
     return rows.orderBy(F.desc_nulls_last("recorded_at"), "edge_id").limit(30)
 
 

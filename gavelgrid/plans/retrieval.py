@@ -250,27 +250,30 @@ def candidate_features(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-_REFS_SQL = """refs AS (SELECT DISTINCT l_orderkey % 97 AS document, l_partkey % 40 AS reference FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49),
+_REFS_SQL = r"""refs AS (SELECT DISTINCT doc_id % 97 AS document, unnest(regexp_extract_all(text, 'Art\. ?[0-9]+[a-z]?')) AS reference FROM documents),
 idf AS (SELECT document, reference, ln(97.0 / (1 + count(*) OVER (PARTITION BY reference))) AS idf FROM refs)"""
 
 
 def _references(spark: SparkSession, base: str) -> DataFrame:
-    refs = table(spark, base, "lineitem").filter("l_linenumber = 1 AND l_quantity >= 49").select((F.col("l_orderkey") % 97).alias("document"), (F.col("l_partkey") % 40).alias("reference")).distinct()
-    return refs.withColumn("idf", F.log(97.0 / (1 + F.count(F.lit(1)).over(Window.partitionBy("reference")))))
+    """Articles that documents mention, with their idf; documents are numbered like the candidates."""
+    texts = table(spark, base, "documents", ("doc_id", "text"))
+    mentions = F.explode(F.regexp_extract_all("text", F.lit(r"Art\. ?[0-9]+[a-z]?"), F.lit(0)))
+    refs = texts.select((F.col("doc_id") % 97).alias("document"), mentions.alias("reference")).distinct()
+    return refs.join(refs.groupBy("reference").agg(F.log(97.0 / (1 + F.count(F.lit(1)))).alias("idf")), "reference")
 
 
 @query(
     "prf_articles",
     f"""WITH {_SCORED_SQL}, {_REFS_SQL},
         places AS (SELECT query, document, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, document) AS rank FROM cand),
-        profile AS (SELECT query, reference, sum(idf / rank) AS w FROM places JOIN idf USING (document) WHERE rank <= 5 GROUP BY 1, 2),
+        profile AS (SELECT query, reference, sum(idf / rank) AS w FROM places JOIN idf USING (document) WHERE rank <= 20 GROUP BY 1, 2),
         shares AS (SELECT query, reference, w / sum(w) OVER (PARTITION BY query) AS w FROM profile)
         SELECT r.query, r.document, round(sum(w), 5) AS share FROM places r JOIN refs USING (document) JOIN shares s ON s.query = r.query AND s.reference = refs.reference GROUP BY 1, 2""",
 )
 def prf_articles(spark: SparkSession, base: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "document"))
     ranked = _candidates(spark, base).select("query", "document", rank.alias("rank"))
-    return ranking.feedback_profile(ranked, _references(spark, base), ["query"], top=5).withColumn("share", F.round("share", 5))
+    return ranking.feedback_profile(ranked, _references(spark, base), ["query"]).withColumn("share", F.round("share", 5))
 
 
 @query(
@@ -685,3 +688,59 @@ def sliding_event_sums(spark: SparkSession, base: str) -> DataFrame:
 def fold_turn_events(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "events").withColumn("day", F.to_date("ts"))
     return streams.fold_turns(rows, ["user_id", "day"], ["ts", "event_id"], "event_type", "event_type")
+
+
+# --- states of stores and jobs --------------------------------------------------------------------------------------
+
+
+@query(
+    "vector_staleness",
+    """WITH c AS (SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL), v AS (SELECT DISTINCT chunk_rowid AS id FROM passage_vectors WHERE chunk_rowid IS NOT NULL)
+       SELECT count(c.id) AS passages, count(v.id) AS vectors, count(*) FILTER (v.id IS NULL) AS missing, count(*) FILTER (c.id IS NULL) AS unknown,
+              count(*) FILTER (v.id IS NULL OR c.id IS NULL) > 0 AS stale FROM c FULL JOIN v ON c.id = v.id""",
+)
+def vector_staleness(spark: SparkSession, base: str) -> DataFrame:
+    """Whether the vectors are those of the passages: passages without a vector, vectors without a passage."""
+    held = table(spark, base, "chunks", ("id",)).filter("id IS NOT NULL").distinct()
+    made = table(spark, base, "passage_vectors", ("chunk_rowid",)).filter("chunk_rowid IS NOT NULL").select(F.col("chunk_rowid").alias("vec")).distinct()
+    missing, unknown = F.col("vec").isNull(), F.col("id").isNull()
+    return held.join(made, held["id"] == made["vec"], "full").agg(
+        F.count("id").alias("passages"), F.count("vec").alias("vectors"), F.count_if(missing).alias("missing"), F.count_if(unknown).alias("unknown"),
+        (F.count_if(missing | unknown) > 0).alias("stale"),
+    )
+
+
+@query(
+    "distribution_manifest",
+    """WITH long AS (SELECT 'language' AS dimension, coalesce(language, 'unknown') AS v, decision_id FROM decisions UNION ALL SELECT 'court', coalesce(court, 'unknown'), decision_id FROM decisions),
+            n AS (SELECT dimension, v, count(*) AS n FROM long GROUP BY 1, 2)
+       SELECT dimension, '{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}' AS manifest FROM n GROUP BY 1""",
+)
+def distribution_manifest(spark: SparkSession, base: str) -> DataFrame:
+    """Counts per value of a dimension as one JSON object, values in order."""
+    rows = table(spark, base, "decisions", ("language", "court"))
+    named = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(d, F.lit("unknown")).alias("v")) for d in ("language", "court")]))
+    counts = rows.select(named.alias("x")).groupBy("x.dimension", "x.v").agg(count())
+    ordered = F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n"))))  # one entry per value of a dimension
+    return counts.groupBy("dimension").agg(F.to_json(ordered).alias("manifest"))
+
+
+@query(
+    "grading_dispatch",
+    r"""SELECT item_id, CASE WHEN reference IS NULL THEN 'unjudged' WHEN regexp_matches(question, '(?m)^\s*[A-D][.)]\s') OR level = 'choice' THEN 'exact' ELSE 'judge' END AS grading FROM eval_items""",
+)
+def grading_dispatch(spark: SparkSession, base: str) -> DataFrame:
+    choice = F.col("question").rlike(r"(?m)^\s*[A-D][.)]\s") | (F.col("level") == "choice")
+    grading = evaluation.grading(F.col("reference").isNull(), F.coalesce(choice, F.lit(False)))
+    return table(spark, base, "eval_items").select("item_id", grading.alias("grading"))
+
+
+@query(
+    "unexpired_jobs",
+    "SELECT event_id FROM events WHERE event_type <> 'purchase' OR ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE",
+)
+def unexpired_jobs(spark: SparkSession, base: str) -> DataFrame:
+    """Purchases are jobs that are done: they are kept for 30 minutes; other events still run."""
+    rows = table(spark, base, "events", ("event_id", "event_type", "ts"))
+    jobs = rows.withColumn("finished", F.when(F.col("event_type") == "purchase", F.col("ts"))).crossJoin(F.broadcast(rows.agg(F.max("ts").alias("now"))))  # one row
+    return streams.unexpired(jobs, "finished", F.col("now")).select("event_id")

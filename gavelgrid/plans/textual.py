@@ -200,7 +200,7 @@ def keyword_search(spark: SparkSession, base: str) -> DataFrame:
 def keyword_in_collection(spark: SparkSession, base: str) -> DataFrame:
     files = table(spark, base, "documents", ("doc_id", "source", "text")).filter("source LIKE 'casefile%'")
     queries = spark.createDataFrame([(1, "Baubewilligung, Kaution, Rechnung")], "q int, t string")
-    hits = keyword.bm25_search(files, "doc_id", "text", queries, "q", "t", 1_000_000_000)
+    hits = keyword.bm25_search(files, "doc_id", "text", queries, "q", "t", None)
     own = Window.partitionBy("source").orderBy(F.desc(F.round("score", 9)), "doc_id")
     ranked = hits.join(files.select("doc_id", "source"), "doc_id").withColumn("rn", F.row_number().over(own)).filter("rn <= 30")
     return ranked.select("source", "doc_id", F.round("score", 6).alias("score"))
@@ -377,14 +377,32 @@ def url_parts(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "composite_text",
-    """SELECT decision_id, h, left(concat_ws(chr(10), nullif(left(regexp_replace(split_part(full_text, chr(10), 1), '\\s+', ' ', 'g'), 500), ''), nullif(left(regexp_replace(regeste, '\\s+', ' ', 'g'), 2800), '')), 6500) AS composite
-       FROM (SELECT DISTINCT decision_id, md5(coalesce(full_text, '') || coalesce(regeste, '')) AS h, full_text, regeste FROM decisions)""",
+    r"""WITH d AS (SELECT DISTINCT decision_id, md5(coalesce(full_text, '') || coalesce(regeste, '')) AS h,
+                       nullif(left(regexp_replace(split_part(full_text, chr(10), 1), '\s+', ' ', 'g'), 500), '') AS heading,
+                       nullif(left(regexp_replace(regeste, '\s+', ' ', 'g'), 2800), '') AS headnote FROM decisions),
+            c AS (SELECT decision_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1500) AS passage, min(chunk_index) AS place FROM chunks
+                  WHERE section <> 'regeste' AND contains(lower(text), 'frist') GROUP BY 1, 2),
+            p AS (SELECT d.decision_id, h, passage, row_number() OVER (PARTITION BY d.decision_id, h ORDER BY place, passage) AS rn
+                  FROM d JOIN c USING (decision_id) WHERE NOT contains(coalesce(headnote, ''), passage)),
+            t AS (SELECT decision_id, h, string_agg(passage, chr(10) ORDER BY rn) AS passages FROM p WHERE rn <= 2 GROUP BY 1, 2)
+       SELECT d.decision_id, d.h, left(concat_ws(chr(10), heading, headnote, passages), 6500) AS composite
+       FROM d LEFT JOIN t ON t.decision_id IS NOT DISTINCT FROM d.decision_id AND t.h = d.h""",
 )
 def composite_text(spark: SparkSession, base: str) -> DataFrame:
-    flat = lambda c, n: F.nullif(F.left(F.regexp_replace(c, r"\s+", " "), F.lit(n)), F.lit(""))
-    rows = table(spark, base, "decisions").select("decision_id", F.md5(F.concat(F.coalesce("full_text", F.lit("")), F.coalesce("regeste", F.lit("")))).alias("h"), "full_text", "regeste").distinct()
-    text = F.concat_ws("\n", flat(F.split_part("full_text", F.lit("\n"), F.lit(1)), 500), flat(F.col("regeste"), 2800))
-    return rows.select("decision_id", "h", F.left(text, F.lit(6500)).alias("composite"))
+    """Heading, headnote and the first two different passages on a term that the headnote doesn't hold already."""
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
+    bounded = lambda c, n: F.nullif(F.left(flat(c), F.lit(n)), F.lit(""))
+    rows = table(spark, base, "decisions").select(
+        "decision_id", F.md5(F.concat(F.coalesce("full_text", F.lit("")), F.coalesce("regeste", F.lit("")))).alias("h"),
+        bounded(F.split_part("full_text", F.lit("\n"), F.lit(1)), 500).alias("heading"), bounded(F.col("regeste"), 2800).alias("headnote"),
+    ).distinct()
+    hits = table(spark, base, "chunks", ("decision_id", "chunk_index", "section", "text")).filter("section <> 'regeste'").filter(F.contains(F.lower("text"), F.lit("frist")))
+    passages = hits.groupBy("decision_id", F.left(F.trim(flat(F.col("text"))), F.lit(1500)).alias("passage")).agg(F.min("chunk_index").alias("place"))
+    first = Window.partitionBy("decision_id", "h").orderBy("place", "passage")
+    fresh = rows.join(passages, "decision_id").filter(~F.contains(F.coalesce("headnote", F.lit("")), F.col("passage")))
+    two = fresh.withColumn("rn", F.row_number().over(first)).filter("rn <= 2").groupBy("decision_id", "h").agg(F.array_sort(F.collect_list(F.struct("rn", "passage"))).alias("p"))
+    joined = rows.join(two, ["decision_id", "h"], "left").withColumn("passages", F.array_join(F.transform("p", lambda x: x["passage"]), "\n"))
+    return joined.select("decision_id", "h", F.left(F.concat_ws("\n", "heading", "headnote", "passages"), F.lit(6500)).alias("composite"))
 
 
 @query(
@@ -451,13 +469,22 @@ p AS (SELECT a.g, a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS common, l
 """
 
 
+#: Every question, and every question once more without its last word: repeats are not frequent enough to be left to chance.
+_ASKED_TWICE = r"(SELECT suite, item_id, question FROM eval_items UNION ALL SELECT suite, item_id + 1000000, regexp_replace(question, '\s+\S+\s*$', '') FROM eval_items)"
+
+
+def _asked_twice(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "eval_items", ("suite", "item_id", "question"))
+    again = rows.select("suite", (F.col("item_id") + 1_000_000).alias("item_id"), F.regexp_replace("question", r"\s+\S+\s*$", "").alias("question"))
+    return rows.unionByName(again)
+
+
 @query(
     "repeat_pairs",
-    f"WITH {_PAIRS.format(g='suite', k='item_id', t='question', f='eval_items', least=1)} SELECT g AS suite, a, b, round(greatest(common / (na + nb - common), common / least(na, nb)), 6) AS similarity FROM p WHERE common > 0 AND greatest(common / (na + nb - common), common / least(na, nb)) >= 0.8",
+    f"WITH {_PAIRS.format(g='suite', k='item_id', t='question', f=_ASKED_TWICE, least=1)} SELECT g AS suite, a, b, round(greatest(common / (na + nb - common), common / least(na, nb)), 6) AS similarity FROM p WHERE common > 0 AND greatest(common / (na + nb - common), common / least(na, nb)) >= 0.8",
 )
 def repeat_pairs(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "eval_items", ("suite", "item_id", "question"))
-    return overlap.similar_pairs(rows, ["suite"], "item_id", "question", 0.8).withColumn("similarity", F.round("similarity", 6))
+    return overlap.similar_pairs(_asked_twice(spark, base), ["suite"], "item_id", "question", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -472,7 +499,7 @@ def similar_pairs(spark: SparkSession, base: str) -> DataFrame:
 @query("repeat_classes")
 def repeat_classes(spark: SparkSession, base: str) -> DataFrame:
     """The members of the classes that repeat_pairs names."""
-    return overlap.word_set_classes(table(spark, base, "eval_items", ("suite", "item_id", "question")), ["suite"], "item_id", "question")
+    return overlap.word_set_classes(_asked_twice(spark, base), ["suite"], "item_id", "question")
 
 
 @query("similar_classes")
@@ -509,6 +536,22 @@ def locate_quote(spark: SparkSession, base: str) -> DataFrame:
     return overlap.quote_spans(keyed, "k", "text", "quote")
 
 
+@query("trimmed_quote")
+def trimmed_quote(spark: SparkSession, base: str) -> DataFrame:
+    """Rubric points with words in front that the text doesn't have, located by what follows."""
+    rows = table(spark, base, "eval_items").select("item_id", F.concat_ws("\n", "question", "reference").alias("text"), F.posexplode("rubric").alias("point", "quote"))
+    keyed = rows.withColumn("k", F.concat_ws("#", "item_id", "point")).withColumn("quote", F.concat(F.lit("Wie es dort heisst: "), "quote"))
+    return overlap.quote_spans(keyed, "k", "text", "quote", trim=True)
+
+
+@query("statute_chunks")
+def statute_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Articles of acts cut like judgments, in a section of their own."""
+    laws = table(spark, base, "documents", ("doc_id", "text", "kind")).filter("kind = 'statute'")
+    cut = chunking.chunk_documents(laws, "doc_id", "text", section="law")
+    return cut.select("doc_id", "chunk_id", "section", "char_start", "char_end", F.md5("text").alias("text_md5"))
+
+
 # --- composed answers -----------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -30,10 +31,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary
-    folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this process (tests, a
+    laptop) a temporary folder of this machine is used; on a cluster a missing folder is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gavelgrid-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gavelgrid-"))
     return df.checkpoint(eager=True)

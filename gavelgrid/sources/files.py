@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import json
 from collections.abc import Iterable
@@ -12,14 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any storage Spark reads, sorted; none if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    storage = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in storage.listStatus(path)) if storage.exists(path) else []
+
+
 def shard_files(root: str, courts: Iterable[str] | None = None) -> list[str]:
     """Sorted parquet shards below ``root/data`` without deltas, and those that lie only in ``root``."""
-    base = Path(root)
-    inside = {p.name: p for p in (base / "data").glob("*.parquet") if not fnmatch.fnmatch(p.name, "delta-*")}
-    outside = {p.name: p for p in base.glob("*.parquet") if p.name not in inside and not fnmatch.fnmatch(p.name, "delta-*")}
-    names = sorted({**outside, **inside})
+    spark = SparkSession.builder.getOrCreate()
+    shards = lambda folder: {n: f"{folder}/{n}" for n in list_names(spark, folder) if n.endswith(".parquet") and not n.startswith("delta-")}
+    every = {**shards(root), **shards(f"{root}/data")}
     wanted = set(courts) if courts is not None else None
-    return [str({**outside, **inside}[n]) for n in names if wanted is None or n.removesuffix(".parquet") in wanted]
+    return [every[n] for n in sorted(every) if wanted is None or n.removesuffix(".parquet") in wanted]
 
 
 def has_columns(spark: SparkSession, path: str, columns: Iterable[str]) -> bool:
@@ -78,7 +83,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 def cached_run(spark: SparkSession, path: str, compute) -> DataFrame:
     """The stored result at ``path``, computed and written first if there is none."""
-    if not (Path(path) / "_SUCCESS").exists():
+    if "_SUCCESS" not in list_names(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

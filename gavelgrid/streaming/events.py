@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gavelgrid.operators.ingest import upsert_latest
+from gavelgrid.sources.files import list_names
 
 
 def event_time(events: DataFrame) -> DataFrame:
@@ -67,31 +68,45 @@ def pending_deltas(manifest: DataFrame, applied: str | None, snapshot: str) -> D
 
 def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: list[str], version: str) -> StreamingQuery:
     """Keeps a parquet table at ``target`` at the latest row per key. Every batch writes a new version folder and then
-    the pointer to it, so a batch that runs twice gives the same table and readers never see half of one."""
+    its marker, so readers never see half of one; a batch that runs again after its marker was written is skipped."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        name, newest = f"v{epoch:08d}", newest_version(spark, target)
+        if newest is not None and newest >= name:
+            return
         current = read_version(spark, target)
         merged = upsert_latest(batch.limit(0) if current is None else current, batch, key, version)
-        publish_version(merged, target, f"v{epoch:08d}")
+        publish_version(merged, target, name)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def publish_version(df: DataFrame, target: str, version: str) -> None:
-    """Write a version folder, then name it in the pointer file."""
+    """Write a version folder, then create its marker in ``target/_versions``. Nothing that readers use is deleted or
+    replaced; the marker with the greatest name is the current version, so names must sort by age."""
+    if not version or version.startswith(("_", ".")) or "/" in version:
+        raise ValueError(f"not a version name: {version!r}")
     df.write.mode("overwrite").parquet(f"{target}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{target}/_current")
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_versions/{version}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+
+
+def newest_version(spark: SparkSession, target: str) -> str | None:
+    names = [name for name in list_names(spark, f"{target}/_versions") if not name.startswith(("_", "."))]
+    return max(names, default=None)
 
 
 def read_version(spark: SparkSession, target: str) -> DataFrame | None:
     """The published version, or None if there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{target}/_current")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    version = spark.read.schema("version string").json(f"{target}/_current").first()
-    return spark.read.parquet(f"{target}/{version.version}") if version else None
+    version = newest_version(spark, target)
+    return spark.read.parquet(f"{target}/{version}") if version else None
+
+
+def unexpired(jobs: DataFrame, finished: str, now: Column, minutes: int = 30) -> DataFrame:
+    """Jobs that still run, or finished at most ``minutes`` ago; ``finished`` is NULL while a job runs."""
+    return jobs.filter(F.col(finished).isNull() | (F.col(finished) >= now - F.make_interval(mins=F.lit(minutes))))
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
