@@ -40,6 +40,7 @@ from gavelgrid.sources.tables import require
 LANGS = ("de", "fr", "it", "rm", "en")
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâäáæçéèêëíîïìñóòôöœúùûüß'"
 DIMS = 2048
+GRID = 1_000_000  # words of the texts that are decoded together
 # Frequent words the profiles start from.
 SEED_WORDS = {
     "de": "der die das und nicht den dem mit auf von eine einer ist wird nach weil obwohl sich für werden bei aus oder auch dass zur zum über gegen durch kann hat haben wurde keine welche nur noch wenn als unter zwischen gericht urteil recht entscheid beschwerde",
@@ -155,8 +156,12 @@ def _decoded(texts: list[np.ndarray], profiles: Profiles, p: Params) -> Iterator
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         work.append((i, starts, np.add.reduceat(profiles.scores(codes), starts, axis=0)))
     work.sort(key=lambda w: len(w[1]))
-    for at in range(0, len(work), 32):
-        group = work[at : at + 32]
+    at = 0
+    while at < len(work):
+        # as many texts of like length as fit a grid of GRID words; the longest alone if it has more
+        size = next((n for n in (512, 128, 32, 8) if at + n <= len(work) and n * len(work[at + n - 1][1]) <= GRID), 1)
+        group = work[at : at + size]
+        at += size
         for (i, starts, sums), path in zip(group, _viterbi([w[2] for w in group], p.switch_letters * profiles.evidence)):
             yield i, starts, sums, path
 

@@ -5,8 +5,8 @@ not seen before, those with the lowest hash priority first.
 
 A wave is the month in which an id was first delivered. Each month may hold ``ceil(rate * ids of the month)``
 selected ids; earlier picks count first, the rest of the quota goes to unseen ids of that month. A later delivery opens
-later months, so it takes nothing from the earlier ones; ``advance_ledger`` writes the picks back, which fixes the
-month that is still open as well.
+later months, so it takes nothing from the earlier ones. ``run_wave`` is the job of a wave: it writes the picks back to
+the ledger, so that no later row, not even one delivered late into an old month, can push out an earlier pick.
 
 Defined cases: ids are compared in their canonical form, repeats and spellings are one id; NULL and empty ids are
 nobody; ids without any ``indexed_at`` form a wave of their own (``unknown``); earlier picks that the table no longer
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from gavelgrid.functions.identity import canonical_id
 from gavelgrid.operators.hashrank import hash_rank
-from gavelgrid.sources.tables import require
+from gavelgrid.sources.tables import empty, require
+from gavelgrid.streaming.events import newest_version, publish_version, read_version
 
 
 def selection(decisions: DataFrame, ledger: DataFrame, rate: float, seed: int = 42) -> DataFrame:
@@ -65,3 +66,15 @@ def advance_ledger(ledger: DataFrame, selected: DataFrame, wave: int, at: str) -
         "decision_id", F.lit(wave).cast("int").alias("wave"), F.lit(at).cast("timestamp_ntz").alias("selected_at")
     )
     return require(ledger, decision_id="string", wave="int", selected_at="timestamp_ntz").unionByName(fresh)
+
+
+def run_wave(decisions: DataFrame, target: str, rate: float, wave: int, at: str, seed: int = 42) -> DataFrame:
+    """A wave as a job: selects by the newest ledger in the versioned table ``target`` (none yet: an empty one) and
+    publishes the ledger with the new picks. A wave that is published already is not drawn again. Returns the ledger."""
+    spark = decisions.sparkSession
+    name, newest = f"wave{wave:08d}", newest_version(spark, target)
+    if newest is None or newest < name:
+        held = read_version(spark, target)
+        ledger = held if held is not None else empty(spark, "decision_id string, wave int, selected_at timestamp_ntz")
+        publish_version(advance_ledger(ledger, selection(decisions, ledger, rate, seed), wave, at), target, name)
+    return read_version(spark, target)

@@ -56,6 +56,17 @@ def test_ledger_without_rows(spark):
         ledger.selection(none, spark.createDataFrame([], LEDGER), 2)
 
 
+def test_waves_write_the_ledger(spark, tmp_path):
+    target = str(tmp_path / "ledger")
+    data = [(f"id{i}", T(2021, 1 + i % 3, 1)) for i in range(300)]
+    first = rows(ledger.run_wave(_decisions(spark, data), target, 0.1, 1, "2021-12-31 00:00:00"))
+    assert len(first) == 30 and first == rows(ledger.run_wave(_decisions(spark, data), target, 0.5, 1, "2022-01-01 00:00:00"))  # drawn once
+    late = [(f"late{i}", T(2021, 1 + i % 3, 2)) for i in range(300)] + [(f"new{i}", T(2021, 4, 1)) for i in range(50)]
+    second = rows(ledger.run_wave(_decisions(spark, data + late), target, 0.1, 2, "2022-12-31 00:00:00"))
+    assert set(first) <= set(second) and len(second) == 60 + 5
+    assert {r[1] for r in set(second) - set(first)} == {2}
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
