@@ -19,29 +19,32 @@ def term_counts(documents: DataFrame, key: str, text: str, tokens=words) -> Data
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build_index(documents: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
-    """Postings (key, term, tf), written once: sizes, lengths, frequencies and weights all read them."""
-    return checkpointed(term_counts(documents, key, text, tokens))
+def postings_of(documents: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
+    """(key, term, tf, dl): postings that carry the length of their document, so that no join has to bring it. Rows of a
+    repeated key are documents of their own length and get one posting each."""
+    split = documents.select(F.col(key), tokens(F.col(text)).alias("_w")).select(key, "_w", F.size("_w").cast("bigint").alias("dl"))
+    return split.select(key, "dl", F.explode("_w").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "dl")
 
 
-def document_lengths(postings: DataFrame, key: str) -> DataFrame:
-    return postings.groupBy(key).agg(F.sum("tf").alias("dl"))
+def build_index(documents: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
+    """Postings (key, term, tf, dl), written once: sizes, frequencies and weights all read them."""
+    return checkpointed(postings_of(documents, key, text, tokens))
 
 
 def bm25_postings(postings: DataFrame, key: str, total: int, mean_length: float) -> DataFrame:
     """(key, term, w): all postings with their BM25 weight, ready to be summed by a query."""
-    return _weights(postings, document_lengths(postings, key), key, total, mean_length)
+    return _weights(postings, key, total, mean_length)
 
 
 def bm25_postings_of(postings: DataFrame, terms: DataFrame, key: str, total: int, mean_length: float) -> DataFrame:
     """As ``bm25_postings``, only for the terms of ``terms`` (term); lengths still count every term."""
-    return _weights(postings.join(terms, "term", "left_semi"), document_lengths(postings, key), key, total, mean_length)
+    return _weights(postings.join(terms, "term", "left_semi"), key, total, mean_length)
 
 
 def corpus_size(postings: DataFrame, key: str) -> tuple[int, float]:
     """(documents with a term, mean length): one row of statistics."""
-    row = document_lengths(postings, key).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return int(row[0]), float(row[1] or 1.0)
+    row = postings.agg(F.count_distinct(key), F.sum("tf")).first()
+    return int(row[0]), float((row[1] or 0) / row[0]) if row[0] else 1.0
 
 
 def bm25_search(
@@ -56,7 +59,7 @@ def bm25_search(
     total, mean_length = corpus_size(postings, key)
     asked = queries.select(F.col(query), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     live = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    weighted = _weights(live, document_lengths(postings, key), key, total, mean_length, among)
+    weighted = _weights(live, key, total, mean_length, among)
     scored = asked.join(weighted, "term").groupBy(query, key).agg(F.sum("w").alias("score"))
     if k is None:
         return scored.withColumn("rank", F.lit(None).cast("int"))
@@ -96,22 +99,22 @@ def broad_search(documents: DataFrame, key: str, text: str, queries: DataFrame,
     postings = build_index(documents, key, text)
     total, mean_length = corpus_size(postings, key)
     live = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    weighted = _weights(live, document_lengths(postings, key), key, total, mean_length)
+    weighted = _weights(live, key, total, mean_length)
     scored = terms.join(weighted, "term").groupBy(query, key).agg(F.sum("w").alias("score"), F.count_distinct("term").alias("hits"), F.max("n").alias("n"))
     tiered = scored.withColumn("tier", F.when(F.col("hits") == F.col("n"), 0).otherwise(1))
     best = Window.partitionBy(query).orderBy("tier", F.desc(F.round("score", 9)), key)
     return tiered.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(query, key, "tier", "score", "rank")
 
 
-def _weights(live: DataFrame, lengths: DataFrame, key: str, total: int, mean_length: float, among: DataFrame | None = None) -> DataFrame:
+def _weights(live: DataFrame, key: str, total: int, mean_length: float, among: DataFrame | None = None) -> DataFrame:
     df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damped = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     held = live if among is None else live.join(among.select(key).distinct(), key, "left_semi")
-    return held.join(df, "term").join(lengths, key).select(key, "term", (idf * damped).alias("w"))
+    return held.join(df, "term").select(key, "term", (idf * damped).alias("w"))
 
 
 def postings_delta(postings: DataFrame, added: DataFrame, removed: DataFrame, key: str, text: str) -> DataFrame:
     """Postings after documents were added, changed or removed: theirs are replaced, nothing else is computed again."""
     touched = added.select(key).unionByName(removed.select(key)).distinct()
-    return postings.join(touched, key, "left_anti").unionByName(term_counts(added, key, text).select(*postings.columns))
+    return postings.join(touched, key, "left_anti").unionByName(postings_of(added, key, text).select(*postings.columns))
