@@ -264,7 +264,9 @@ def candidates(document: np.ndarray, place: np.ndarray, term: np.ndarray, terms:
     keys, total = _sums(pair, np.where(words >= p.hint_words, words, 0))
     chosen.append(keys[total >= p.hint_share * terms.sizes[keys % len(terms.sizes)]])
     pairs = np.unique(np.concatenate(chosen))
-    return pairs // len(terms.sizes), pairs % len(terms.sizes)
+    d, t = pairs // len(terms.sizes), pairs % len(terms.sizes)
+    by = np.argsort(t, kind="stable")  # so that a text's terms are looked up one after the other
+    return d[by], t[by]
 
 
 def _needed(sizes: np.ndarray, p: Params) -> np.ndarray:
@@ -303,6 +305,21 @@ def _covered(runs: list[list[int]]) -> int:
     return total
 
 
+def _near_each_other(runs: list[list[int]], near: int | None) -> list[list[list[int]]]:
+    """The passages cut where the document has more than ``near`` words between one and all before it; each part sorted.
+    No chain goes over such a cut."""
+    if near is None or len(runs) < 2:
+        return [runs]
+    groups: list[list[list[int]]] = []
+    end = -near - 1
+    for run in sorted(runs, key=lambda r: r[2]):
+        if run[2] - end > near:
+            groups.append([])
+        groups[-1].append(run)
+        end = max(end, run[3])
+    return [sorted(group) for group in groups]
+
+
 Phrases = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -379,11 +396,12 @@ def spans(size: int, phrases: tuple[np.ndarray, np.ndarray, np.ndarray], p: Para
     spanned, matched = _chain(long)
     for floor, apart in ((p.piece, None), (p.near_piece, p.near)):
         pieces = sorted(r for r in runs if r[4] >= min(floor, least))
-        if _covered(pieces) < p.min_share * size:
-            continue
-        whole = _chain(pieces, apart)
-        if whole > (spanned, matched) and whole[0] >= p.min_share * size and whole[1] >= least:
-            (spanned, matched), long = whole, pieces
+        for group in _near_each_other(pieces, apart):
+            if _covered(group) < p.min_share * size:
+                continue
+            whole = _chain(group, apart)
+            if whole > (spanned, matched) and whole[0] >= p.min_share * size and whole[1] >= least:
+                (spanned, matched), long = whole, pieces
     return spanned / size, matched / size, max((r[4] for r in long), default=0)
 
 
