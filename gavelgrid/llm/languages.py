@@ -14,7 +14,7 @@ Stretches: the word scores go through a Viterbi search in which a change of lang
 ``Params.switch_letters`` letters of average evidence, so quotations and names don't break a stretch.
 
 Fitting: prototypes start from short word lists and are then bundled from a bounded sample of labelled texts
-(``Params.fit_texts`` per label, by hash). Labels may be wrong and texts mixed, so each stretch counts for the language
+(``Params.fit_texts`` per label, by hash, none longer than ``Params.fit_length``). Labels may be wrong and texts mixed, so each stretch counts for the language
 that the profiles of the round before hear in it, and only with a clear lead. Everything else runs over all texts, whole.
 
 Defined cases: NULL, empty and letterless texts have no stretches and no language; letters outside the alphabet count
@@ -57,6 +57,7 @@ for _i, _c in enumerate(ALPHABET):
 @dataclass(frozen=True)
 class Params:
     fit_texts: int = 900  # labelled texts per label
+    fit_length: int = 100_000  # characters of the longest text that is fitted on
     rounds: int = 2
     switch_letters: int = 30
     min_stretch: int = 100
@@ -233,7 +234,7 @@ def fit_on(table: DataFrame, key: str, label: str, text: str, p: Params = Params
     """Profiles from a bounded sample: the ``fit_texts`` rows of each label with the lowest hash."""
     rows = require(table, **{key: "string", label: "string", text: "string"}).select(
         F.col(key).alias("k"), language_of(F.col(label)).alias("l"), F.col(text).alias("t")
-    ).filter("k IS NOT NULL AND l IS NOT NULL AND t <> ''")
+    ).filter("k IS NOT NULL AND l IS NOT NULL AND t <> ''").filter(F.length("t") <= p.fit_length)
     quota = rows.select("k", "l").distinct().withColumn("quota", F.lit(p.fit_texts))
     picked = F.broadcast(hash_rank(quota, ["l"], "k", p.seed, quota="quota").select("k", "l"))  # fit_texts x languages
     sample = rows.join(picked, ["k", "l"]).groupBy("k", "l").agg(F.min("t").alias("t")).collect()  # one text per key

@@ -6,7 +6,8 @@ texts together, so rare expressions are smoothed alike and only evidence of a cl
 scores the difference of its two log-likelihoods by its length (or that of its most toxic stretch of ``Params.window``
 signs), a document its most toxic sentence.
 
-Fitting: on a bounded sample of labelled documents (``Params.fit_toxic`` and ``Params.fit_ordinary`` by hash). Labels
+Fitting: on a bounded sample of labelled documents (``Params.fit_toxic`` and ``Params.fit_ordinary`` by hash, none longer
+than ``Params.fit_length``). Labels
 are for documents and may be wrong, so which sentences are toxic is learned in rounds: sentences of documents labelled
 toxic that the round before does not find toxic leave the toxic class, and toxic ones of documents labelled ok leave
 the ordinary class. Everything else runs over all documents, whole.
@@ -43,6 +44,7 @@ ORDER, SHARED = 7, 3  # longest n-gram; orders up to SHARED are counted for both
 class Params:
     fit_toxic: int = 2500  # labelled documents
     fit_ordinary: int = 5000
+    fit_length: int = 100_000  # characters of the longest text that is fitted on
     rounds: int = 3
     noise: float = 0.06  # wrong labels the first models allow for
     clean: float = 0.2  # sentences from this score on count as toxic while fitting
@@ -331,7 +333,7 @@ def fit_on(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Tox
     votes = rated.groupBy("doc_id").agg(F.avg(toxic.cast("int")).alias("share")).select("doc_id", (F.col("share") > 0.5).alias("toxic"))
     quota = votes.withColumn("quota", F.when(F.col("toxic"), F.lit(p.fit_toxic)).otherwise(F.lit(p.fit_ordinary)))
     picked = F.broadcast(hash_rank(quota, ["toxic"], "doc_id", p.seed, quota="quota").select("doc_id", "toxic"))  # the two quotas
-    texts = require(documents, doc_id="bigint", text="string").filter("text <> ''").join(picked, "doc_id")
+    texts = require(documents, doc_id="bigint", text="string").filter("text <> ''").filter(F.length("text") <= p.fit_length).join(picked, "doc_id")
     rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text per document of the quotas
     return fit_model([(r.toxic, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], p)
 
