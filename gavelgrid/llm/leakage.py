@@ -117,6 +117,7 @@ class Terms:
         order = np.argsort(keys, kind="stable")
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
+        self.bounds = np.searchsorted(self.keys, np.arange(len(texts) + 1) * len(self.pairs))  # keys of each text
         self.places = place[held][order]
 
     def postings(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,9 +328,18 @@ def exact_phrases(starts: np.ndarray, place: np.ndarray, term: np.ndarray, d: np
     """(candidate, place in the test text, place in the document, words) of the longest exact phrases of candidates
     (document, text). ``starts`` bounds the postings of each document. Sorted by candidate and diagonal."""
     c, posting = _expand(starts[d], starts[d + 1])
-    keys = t[c] * len(terms.pairs) + term[posting]
-    at = np.minimum(np.searchsorted(terms.keys, keys), len(terms.keys) - 1)
-    held = np.flatnonzero(terms.keys[at] == keys)
+    own_terms, text = term[posting], t[c]
+    at = np.full(len(c), -1, dtype=np.int64)
+    table = np.full(len(terms.pairs), -1, dtype=np.int32)
+    edges = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(c)]])
+    for a, b in zip(edges[:-1], edges[1:]):  # candidates of one test text
+        if a < b:
+            low, high = terms.bounds[text[a]], terms.bounds[text[a] + 1]
+            mine = terms.keys[low:high] - text[a] * len(terms.pairs)
+            table[mine] = np.arange(low, high)
+            at[a:b] = table[own_terms[a:b]]
+            table[mine] = -1
+    held = np.flatnonzero(at >= 0)
     row, number = _expand(terms.first[at[held]], terms.first[at[held] + 1])
     c, i, j = c[held[row]], terms.places[number], place[posting[held[row]]].astype(np.int64)
     shift = j - i
