@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,25 @@ def bm25_search(
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+BLOCK_TERMS = 200_000  # query terms sent to the postings at once
+
+
+def sum_weights(weights: DataFrame, terms: DataFrame, key: str, query: str, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(query, key, score): the sums of the weights of many long queries, ``terms`` (query, term).
+
+    The weights are laid out by document once, so a document's sums are made where its postings lie and only what a
+    ranking keeps has to move. The terms go there in blocks of whole queries of about ``block_terms`` rows.
+    """
+    blocks = max(1, -(-terms.count() // block_terms))
+    laid_out = weights.repartition(key)
+    laid_out = checkpointed(laid_out).repartition(key) if blocks > 1 else laid_out
+    found = []
+    for number in range(blocks):
+        own = terms.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == number) if blocks > 1 else terms
+        found.append(laid_out.join(F.broadcast(own), "term").groupBy(query, key).agg(F.sum("w").alias("score")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def parse_match(expression: str) -> list[list[str]]:
     """Parts of a search text: quoted parts are phrases of several words, the others single words; parts without a
     letter or digit are dropped."""

@@ -368,7 +368,7 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     total, mean_length = keyword.corpus_size(postings, "id")
     terms = asked.select("query", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
     weights = keyword.bm25_postings_of(postings, terms.select("term").distinct(), "id", total, mean_length)
-    lexical = terms.join(weights, "term").filter("id <> query").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    lexical = keyword.sum_weights(weights, terms, "id", "query").filter("id <> query").withColumn("score", F.round("score", 6))
 
     vector_rows = table(spark, base, "passage_vectors", ("chunk_rowid", "embedding")).filter(F.size("embedding") == 64)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
