@@ -56,6 +56,7 @@ class Params:
     beam: int = 48  # width of the graph search
     degree: int = 24  # neighbours of a centroid in the graph
     block: int = 65_536  # postings of a part of a cell
+    sent_ids: int = 500_000  # ids of copies that are broadcast; more meet the vectors in a shuffle
     exhaustive: bool = False
     seed: int = 7
 
@@ -312,7 +313,9 @@ def nearest(table: DataFrame, p: Params = Params()) -> DataFrame:
     vectors = stored(usable_vectors(table, p.dims))
     members = stored(classes(vectors))
     copies = members.filter("n > 1")
-    reps = vectors.join(copies.filter("id <> rep").select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "vec")
+    further = copies.filter("id <> rep").select("id")
+    further = F.broadcast(further) if further.count() <= p.sent_ids else further
+    reps = vectors.join(further, "id", "left_anti").select(F.col("id").alias("rep"), "vec")
     near = search_classes(reps, members.filter("id = rep").count(), p)
     heads = _first_members(copies, p.k + 1)  # classes of one member need none
     own = heads.select("rep", F.col("rep").alias("other"), F.lit(1.0).cast("float").alias("sim"))
