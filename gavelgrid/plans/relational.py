@@ -819,18 +819,19 @@ def group_disjoint_split(spark: SparkSession, base: str) -> DataFrame:
 
 @query("quota_sample")
 def quota_sample(spark: SparkSession, base: str) -> DataFrame:
-    return sampling.quota_sample(table(spark, base, "documents", ("doc_id", "kind", "lang")).filter("lang IS NOT NULL"), ["kind", "lang"], "doc_id", 200, SEED)
+    rows = table(spark, base, "documents", ("doc_id", "kind", "lang")).fillna("unknown", ["kind", "lang"])
+    return sampling.quota_sample(rows, ["kind", "lang"], "doc_id", 200, SEED)
 
 
 @query(
     "component_groups",
-    """WITH RECURSIVE e AS (SELECT doc_id AS u, 'd' || decision_id AS k FROM documents WHERE decision_id IS NOT NULL AND court IS NOT NULL),
+    """WITH RECURSIVE e AS (SELECT doc_id AS u, 'd' || decision_id AS k FROM documents WHERE decision_id IS NOT NULL),
        pairs AS (SELECT DISTINCT a.u AS u, b.u AS v FROM e a JOIN e b USING (k)),
        reach(u, v) AS (SELECT u, v FROM pairs UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u)
        SELECT u AS node, min(v) AS component FROM reach GROUP BY 1""",
 )
 def component_groups(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "documents", ("doc_id", "decision_id", "court")).filter("decision_id IS NOT NULL AND court IS NOT NULL")
+    rows = table(spark, base, "documents", ("doc_id", "decision_id")).filter("decision_id IS NOT NULL")
     first = rows.groupBy("decision_id").agg(F.min("doc_id").alias("v"))  # a star per shared key, not all its pairs
     return sampling.components(rows.join(first, "decision_id").select(F.col("doc_id").alias("u"), "v"), "u", "v")
 
