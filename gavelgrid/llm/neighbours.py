@@ -199,12 +199,14 @@ def _top(query: np.ndarray, other: np.ndarray, sim: np.ndarray, wanted: int) ->
 
 
 def _best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, wanted: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, similarity): the rows that may be among the ``wanted`` best of a query, ties included. ``edge``
-    holds what each query's ``wanted`` best rows reach so far and is raised."""
+    """(query number, id, similarity): the rows that may be among the ``wanted`` best of a query, ties included. ``ids``
+    are in order; ``edge`` holds what each query's ``wanted`` best rows reach so far and is raised."""
     parts = []
     for at in range(0, len(queries), 1024):
         sims = queries[at : at + 1024] @ rows.T
-        sims[own[at : at + 1024, None] == ids[None, :]] = -2
+        place = np.minimum(np.searchsorted(ids, own[at : at + 1024]), len(ids) - 1)
+        itself = np.flatnonzero(ids[place] == own[at : at + 1024])
+        sims[itself, place[itself]] = -2
         if len(ids) > wanted:
             best = np.partition(sims, len(ids) - wanted, axis=1)[:, len(ids) - wanted] - 2 * 10.0**-SIM_DIGITS
             edge[at : at + 1024] = np.maximum(edge[at : at + 1024], best)
