@@ -316,3 +316,54 @@ def test_whole_job_agrees(spark, name):
     expected = sorted(tuple(str(v) for v in r) for r in cursor.fetchall())
     got = entry.queries()[name](spark, "/root/testdata/sf0.001").select(*columns)
     assert expected and sorted(tuple(str(v) for v in r) for r in got.collect()) == expected
+
+
+def test_bm25_best(spark):
+    """Blocks of long queries against the plain sums; copies tie and go to the smaller key, a document without key counts."""
+    import math
+    import random
+    from collections import Counter
+
+    draw = random.Random(5)
+    texts = {i: " ".join(f"w{int(draw.expovariate(0.2))}" for _ in range(draw.randint(5, 60))) for i in range(90)} | {90: None, 91: ".", None: "w1 w2"}
+    texts |= {i: texts[3] for i in range(70, 80)}
+    df = keyword.joined_words(spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5), "text")
+    asked = df.filter("id % 10 = 3 OR id > 88").withColumnRenamed("id", "q")
+    tf = {i: Counter((t or "").replace(".", "").split()) for i, t in texts.items()}
+    full = [c for c in tf.values() if c]
+    mean, df_of = sum(sum(c.values()) for c in full) / len(full), Counter(w for c in full for w in c)
+
+    def score(q, i):
+        norm = 1.2 * (0.25 + 0.75 * sum(tf[i].values()) / mean)
+        return sum(math.log(1 + (len(full) - df_of[w] + 0.5) / (df_of[w] + 0.5)) * tf[i][w] * 2.2 / (tf[i][w] + norm) for w in tf[q] if w in tf[i])
+
+    want = {}
+    for q in [i for i in texts if i is not None and (i % 10 == 3 or i > 88) and tf[i]]:
+        hits = sorted((-round(score(q, i), 6), i) for i in texts if i not in (None, q) and score(q, i) > 0)[:7]
+        want |= {(q, n): (i, pytest.approx(-s, abs=1e-6)) for n, (s, i) in enumerate(hits, 1)}
+    for sizes in ({}, {"query_block": 3}, {"term_block": 40}):
+        got = keyword.bm25_best(df, "id", asked, "q", 7, **sizes).collect()
+        assert {(r.query, r.rank): (r.id, r.score) for r in got} == want and len(got) == len(want)
+    assert keyword.bm25_best(df, "id", asked.limit(0), "q", 7).count() == 0
+
+
+def test_hybrid_search_moves_no_postings(spark, tmp_path):
+    """Its SQL on passages whose vectors are equal to six digits but not to nine, the smaller ids a little less near; what
+    goes between tasks is hits, not sums for every pair."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    n = 400
+    chunks = [(i, f"d{i % 90:02d}", f"Gericht Urteil Miete w{i % 7} w{i % 11} Art. {i % 13}") for i in range(1, n)]
+    rows = [(i, [1.0, 0.0] + [0.0] * 62 if i % 20 == 0 else [1.0, 1e-3 * (1 - i / (4 * n))] + [0.0] * 62) for i in range(1, n)]
+    spark.createDataFrame(chunks, "id long, decision_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame(rows, "chunk_rowid long, embedding array<float>").write.parquet(f"{tmp_path}/passage_vectors.parquet")
+    spark.createDataFrame([("d01", 4), ("d02", 9)], "decision_id string, cited_by long").write.parquet(f"{tmp_path}/counts.parquet")
+    con = duckdb.connect()
+    for t in ("chunks", "passage_vectors", "counts"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = entry.queries()["hybrid_search"](spark, str(tmp_path))
+    expected = con.execute(entry.oracle_sql()["hybrid_search"]).fetchall()
+    assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
