@@ -367,3 +367,31 @@ def test_hybrid_search_moves_no_postings(spark, tmp_path):
     expected = con.execute(entry.oracle_sql()["hybrid_search"]).fetchall()
     assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_feedback_profile_moves_no_references(spark):
+    """Many queries over few documents with many references: the same shares as by profiles, and as few rows shuffled."""
+    import math
+
+    documents, held = range(12), {d: [r for r in range(300) if (r * 7 + d * 5) % 3] for d in range(12)}
+    often = {r: sum(r in v for v in held.values()) for r in range(300)}
+    idf = {(d, r): math.log(20 / (1 + often[r])) for d in documents for r in held[d]}
+    places = [(q, (q * 5 + n * 7) % 13, n + 1) for q in range(60) for n in range(13)]  # document 12 has no reference
+    ranked = spark.createDataFrame(places, "query int, document int, rank int")
+    refs_ = spark.createDataFrame([(d, r, v) for (d, r), v in idf.items()], "document int, reference int, idf double")
+    want = {}
+    for q in range(60):
+        w = {}
+        for _, d, rank in [x for x in places if x[0] == q and x[2] <= 4]:
+            for r in held.get(d, ()):
+                w[r] = w.get(r, 0) + idf[d, r] / rank
+        want |= {(q, d): pytest.approx(sum(w[r] for r in held[d] if r in w) / sum(w.values())) for d in documents if set(held[d]) & set(w)}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList()))}
+    for few in ({"few": 5}, {}):
+        before = stages()
+        got = ranking.feedback_profile(ranked, refs_, ["query"], 4, **few).collect()
+        assert {(r.query, r.document): r.share for r in got} == want and len(got) == len(want)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = sum(n for k, n in stages().items() if k not in before)
+        assert few or moved < 3 * (len(places) + len(idf)), moved
